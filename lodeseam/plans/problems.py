@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodeseam.operators import changes as C
 from lodeseam.operators import hierarchy as H
 from lodeseam.session import scratch
-from lodeseam.tables import current_rows, load, strip
+from lodeseam.tables import BLANKS, current_rows, load, strip
 
 
 def _key(c: str) -> Column:
@@ -57,7 +57,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {"p1_found": p1_found, "p1_paths": p1_paths, "p1_descendants": p1_descendants, "p6_found": p6_found}
 
 _CURRENT = """cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY crawled_at DESC NULLS LAST, run_no DESC NULLS LAST) AS _rn FROM pages WHERE id IS NOT NULL) WHERE _rn = 1)"""
-_B = "E'\\t\\n\\x0b\\x0c\\r\\x1c\\x1d\\x1e\\x1f \\u0085\\u00a0\\u1680\\u2000\\u2001\\u2002\\u2003\\u2004\\u2005\\u2006\\u2007\\u2008\\u2009\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000'"
+_B = f"'{BLANKS}'"
 _TREE = f"""WITH RECURSIVE {_CURRENT},
 n AS (SELECT id, nullif(lower(trim(parent_id, {_B})), '') AS parent, lower(trim(root_id, {_B})) AS said_root, depth AS said_depth FROM cur),
 down AS (SELECT id, id AS root, CAST(0 AS BIGINT) AS depth, id AS path FROM n WHERE parent IS NULL
