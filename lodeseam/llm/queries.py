@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseam.llm import bpe, fusion, mixing, repeats, segments
+from lodeseam.llm import boilerplate, bpe, fusion, mixing, repeats, segments
 from lodeseam.session import stored
 from lodeseam.tables import current_rows, folded, load, strip
 
@@ -58,6 +58,22 @@ def p4_ranking(spark: SparkSession, d: str) -> DataFrame:
     return _fused(spark, d)
 
 
+def _hosted(spark: SparkSession, d: str) -> DataFrame:
+    return current_rows(load(spark, d, "pages"), source=folded(F.col("domain")), title=F.col("title"), text=F.col("text")).select(
+        "*", boilerplate.subtrees(F.col("text")).alias("lines"), boilerplate.subtrees(F.col("title")).alias("heading")
+    )
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """(id, line_no): lines that are not main body."""
+    return boilerplate.boilerplate_lines(_hosted(spark, d))
+
+
+def p7_texts(spark: SparkSession, d: str) -> DataFrame:
+    """(id, text): main bodies."""
+    return boilerplate.main_bodies(_hosted(spark, d))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, ids) by byte_bpe_50k."""
     return bpe.encoded(load(spark, d, "documents").select("doc_id", "text"))
@@ -87,7 +103,7 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.select(docs, stored(_plan(spark, d, docs), "mix"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_texts, p2_templates, p3_found, p3_chunks, p4_found, p4_ranking, p8_ids, p9_found, p9_shares, p9_mix)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_texts, p2_templates, p3_found, p3_chunks, p4_found, p4_ranking, p7_found, p7_texts, p8_ids, p9_found, p9_shares, p9_mix)}
 
 _CURRENT = "cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY crawled_at DESC NULLS LAST, run_no DESC NULLS LAST) AS _rn FROM pages WHERE id IS NOT NULL) WHERE _rn = 1)"
 _SCORED = """m AS (SELECT upper(trim(method)) AS method, CASE WHEN lower(better) = 'low' THEN 1 ELSE -1 END AS sign FROM score_method),
