@@ -9,6 +9,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -104,3 +106,17 @@ def _clean() -> None:
             remove(spark, path)
         except Exception:  # noqa: BLE001, S110 - the session may be gone
             pass
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Gives the executors this package, once per application, so that their Python workers can import it."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_lodeseam_shipped", False):
+        sc._lodeseam_shipped = True
+        root = Path(__file__).resolve().parent
+        target = Path(tempfile.mkdtemp(prefix="lodeseam-zip-")) / "lodeseam.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, p.relative_to(root.parent))
+        sc.addPyFile(str(target))
+    return spark
