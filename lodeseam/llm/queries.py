@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseam.llm import boilerplate, bpe, fusion, mixing, repeats, segments
+from lodeseam.llm import boilerplate, bpe, fusion, mixing, repeats, segments, sentences
 from lodeseam.session import stored
 from lodeseam.tables import current_rows, folded, load, strip
 
@@ -103,7 +103,12 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.select(docs, stored(_plan(spark, d, docs), "mix"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_texts, p2_templates, p3_found, p3_chunks, p4_found, p4_ranking, p7_found, p7_texts, p8_ids, p9_found, p9_shares, p9_mix)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, start_char, end_char) of every sentence."""
+    return sentences.split(load(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_texts, p2_templates, p3_found, p3_chunks, p4_found, p4_ranking, p7_found, p7_texts, p8_ids, p9_found, p9_shares, p9_mix, p10_found)}
 
 _CURRENT = "cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY crawled_at DESC NULLS LAST, run_no DESC NULLS LAST) AS _rn FROM pages WHERE id IS NOT NULL) WHERE _rn = 1)"
 _SCORED = """m AS (SELECT upper(trim(method)) AS method, CASE WHEN lower(better) = 'low' THEN 1 ELSE -1 END AS sign FROM score_method),
