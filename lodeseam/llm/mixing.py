@@ -72,7 +72,7 @@ def plan(docs: DataFrame, targets: DataFrame, size: float = 1.0) -> DataFrame:
     docs(source, n_tokens), targets(source, weight, max_repeats). size: of the mix, as a multiple of the corpus.
     Documents without source count in the total only. short: the source cannot give its share even if repeated as
     often as it may be. Targets with a null weight or cap, or a weight not above 0, get no documents and are not short;
-    a source without documents is short if its weight is above 0. Without documents the total is 0 and every share is 0.
+    a source without documents is short if its weight is above 0, and so is every such source of an empty corpus.
     """
     hist = docs.select(key("source").alias("key"), "n_tokens").groupBy("key", "n_tokens").agg(F.count("*").alias("n"))
     total = hist.agg(F.coalesce(F.sum(F.col("n_tokens") * F.col("n")), F.lit(0)).alias("total"))

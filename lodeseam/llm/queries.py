@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseam.llm import boilerplate, bpe, fusion, mixing, repeats, segments, sentences
+from lodeseam.llm import boilerplate, bpe, fusion, mixing, neighbours, repeats, segments, sentences
 from lodeseam.session import stored
 from lodeseam.tables import current_rows, folded, load, strip
 
@@ -58,6 +58,19 @@ def p4_ranking(spark: SparkSession, d: str) -> DataFrame:
     return _fused(spark, d)
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """(id_a, id_b): pairs of chunks with a cosine of at least 0.9."""
+    return neighbours.pairs(load(spark, d, "chunks"))
+
+
+def p5_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """(id, neighbour, cosine, place): the ten most similar chunks of each chunk whose id, read as a number, is divisible by 20."""
+    chunks = load(spark, d, "chunks").select("id", "embedding")
+    part = lambda i: F.conv(F.substring("id", 8 * i + 1, 8), 16, 10).cast("bigint")
+    fives = part(0) + part(1) + part(2) + part(3)  # 16 ** 8 leaves 1 when divided by 5 and 0 by 4
+    return neighbours.nearest(chunks, chunks.where((fives % 5 == 0) & (part(3) % 4 == 0)))
+
+
 def _hosted(spark: SparkSession, d: str) -> DataFrame:
     return current_rows(load(spark, d, "pages"), source=folded(F.col("domain")), title=F.col("title"), text=F.col("text")).select(
         "*", boilerplate.subtrees(F.col("text")).alias("lines"), boilerplate.subtrees(F.col("title")).alias("heading")
@@ -108,7 +121,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.split(load(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_texts, p2_templates, p3_found, p3_chunks, p4_found, p4_ranking, p7_found, p7_texts, p8_ids, p9_found, p9_shares, p9_mix, p10_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_texts, p2_templates, p3_found, p3_chunks, p4_found, p4_ranking, p5_found, p5_nearest, p7_found, p7_texts, p8_ids, p9_found, p9_shares, p9_mix, p10_found)}
 
 _CURRENT = "cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY crawled_at DESC NULLS LAST, run_no DESC NULLS LAST) AS _rn FROM pages WHERE id IS NOT NULL) WHERE _rn = 1)"
 _SCORED = """m AS (SELECT upper(trim(method)) AS method, CASE WHEN lower(better) = 'low' THEN 1 ELSE -1 END AS sign FROM score_method),
