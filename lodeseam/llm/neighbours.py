@@ -133,7 +133,8 @@ def pairs(vectors: DataFrame, cosine: float = 0.9, block: int = BLOCK) -> DataFr
     n = reps.count()
     levels, limit = max(LEVELS, min(24, math.ceil(math.log2(max(n, 1) / CELL)))), 2 - 2 * cosine
     m = TREES * levels
-    sample = [x[0] for x in reps.select("v").orderBy("k", "h").limit(SAMPLE).collect()]  # SAMPLE rows at most; hashes are a random order
+    share = math.ceil(min(1.0, SAMPLE / max(n, 1)) * (1 << 30))  # hashes are uniform, so about SAMPLE rows reach the driver at any size
+    sample = [x[0] for x in reps.where(F.pmod("h", F.lit(1 << 30)) < share).select("v").collect()]
     by_dim: dict[int, list] = {}
     for v in sample:
         by_dim.setdefault(len(v), []).append(v)
