@@ -67,6 +67,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def folder(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
+
+
 def names(spark: SparkSession, path: str) -> list[str]:
     """Names in a folder, sorted; none where the folder is missing."""
     fs, p = _fs(spark, path)
