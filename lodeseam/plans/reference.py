@@ -90,7 +90,7 @@ def result_metadata(spark, d):
     """Results with the address and title of their page, '' where it is missing; scores to 4 digits."""
     meta = pages_of(spark, d, "url", "title").select(F.col("id").alias("_id"), "url", "title")
     r = load(spark, d, "search_result").select("query_id", "chunk_id", "page_id", "method", F.round("score", 4).alias("score")).distinct()
-    return r.join(meta, F.col("page_id") == F.col("_id"), "left").select("query_id", "chunk_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("title", F.lit("")).alias("title"), "method", F.when(~F.isnan("score"), F.col("score")).alias("score"))
+    return r.join(meta, F.col("page_id") == F.col("_id"), "left").select("query_id", "chunk_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("title", F.lit("")).alias("title"), "method", F.when(~F.isnan("score"), F.col("score") + 0.0).alias("score"))
 
 
 # pages, addresses and HTML
@@ -324,7 +324,7 @@ SQL = {
     "hybrid_search": _HYBRID,
     "chunk_documents": f"WITH {_chunk_sql('SELECT doc_id, text FROM documents', 'doc_id')} SELECT doc_id, CAST(seq AS INTEGER) AS seq, text FROM each",
     "chunk_pages": f"WITH {_CUR}, {_chunk_sql('SELECT id, text FROM cur', 'id')} SELECT substring(sha256(id || chr(10) || seq), 1, 32) AS id, id AS page_id, CAST(seq AS INTEGER) AS seq, text FROM each",
-    "result_metadata": f"""WITH {_CUR} SELECT query_id, chunk_id, coalesce(url, '') AS url, coalesce(cur.title, '') AS title, method, CASE WHEN NOT isnan(score) THEN score END AS score
+    "result_metadata": f"""WITH {_CUR} SELECT query_id, chunk_id, coalesce(url, '') AS url, coalesce(cur.title, '') AS title, method, CASE WHEN NOT isnan(score) THEN score + 0.0 END AS score
         FROM (SELECT DISTINCT query_id, chunk_id, page_id, method, round(score, 4) AS score FROM search_result) r LEFT JOIN cur ON cur.id = r.page_id""",
     "page_ids": f"WITH {_CUR} SELECT c.id, substring(sha256(r.url || chr(10) || c.url), 1, 32) AS made FROM cur c JOIN cur r ON r.id = c.root_id",
     "url_parts": f"""SELECT url, lower({_HOST}) AS netloc, regexp_replace(url, '/+$', '') AS bare, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*') || '/robots.txt' AS robots, {_PATH} AS path FROM (SELECT DISTINCT url FROM crawl_log)""",
