@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lodeseam.session import stored
 
-TREES, LEVELS, CELL, RADIUS, RISK = 3, 8, 700, 0.05, 1e-4
+TREES, LEVELS, CELL, RADIUS, RISK = 3, 8, 700, 0.1, 1e-4
 #: Rows on which the split points are fitted, and vectors of a cell that are compared at once.
 SAMPLE, BLOCK = 16_384, 4_096
 #: Projected coordinates are sent as bytes: from -4 to 4.
