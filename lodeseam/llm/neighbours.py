@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from lodeseam.session import stored
 
 TREES, LEVELS, CELL, RADIUS, RISK = 3, 8, 700, 0.1, 1e-4
+#: Directions that no tree uses; the test has them besides the trees' own.
+MORE = 12
 #: Rows on which the split points are fitted, and vectors of a cell that are compared at once.
 SAMPLE, BLOCK = 16_384, 4_096
 #: Projected coordinates are sent as bytes: from -4 to 4.
@@ -132,7 +134,7 @@ def pairs(vectors: DataFrame, cosine: float = 0.9, block: int = BLOCK) -> DataFr
     reps = stored(rows.groupBy("k", "h").agg(F.max("v").alias("v")), "classes")
     n = reps.count()
     levels, limit = max(LEVELS, min(24, math.ceil(math.log2(max(n, 1) / CELL)))), 2 - 2 * cosine
-    m = TREES * levels
+    m = TREES * levels + MORE
     share = math.ceil(min(1.0, SAMPLE / max(n, 1)) * (1 << 30))  # hashes are uniform, so about SAMPLE rows reach the driver at any size
     sample = [x[0] for x in reps.where(F.pmod("h", F.lit(1 << 30)) < share).select("v").collect()]
     by_dim: dict[int, list] = {}
