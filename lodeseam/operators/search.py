@@ -11,6 +11,7 @@ import hashlib
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -25,7 +26,7 @@ from lodeseam.session import stored
 
 #: Constants of the ranking function and its blend (fixed values).
 K1, B, WEIGHT, NONE = 1.5, 0.75, 0.6, 1e-9
-ROWS, QUERIES = 20_000, 500
+ROWS, QUERIES = 20_000, 250
 
 
 def term_frequencies(docs: DataFrame, key: str) -> DataFrame:
@@ -52,7 +53,10 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def bm25(docs: DataFrame, key: str, queries: DataFrame) -> DataFrame:
-    """(query_id, key, score) of all rows of docs(key, text) that have a term of the query. Empty queries have none."""
+    """(query_id, key, score) of all rows of docs(key, text) that have a term of the query. Empty queries have none.
+
+    A row for every match; for the best of each query bm25_topk() needs far fewer.
+    """
     own = docs.select(key, tokens(F.col("text")).alias("t"))
     shape = own.agg(F.count("*").alias("_docs"), F.avg(F.coalesce(F.size("t"), F.lit(0))).alias("_mean"))
     asked = query_terms(queries)
@@ -64,12 +68,6 @@ def bm25(docs: DataFrame, key: str, queries: DataFrame) -> DataFrame:
     return hits.join(asked.join(df, "term"), "term").join(F.broadcast(shape)).groupBy("query_id", key).agg(F.sum(part).alias("score"))  # shape: one row
 
 
-def bm25_topk(docs: DataFrame, key: str, queries: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, key, score, place); scores to 4 digits, equal ones by key."""
-    scored = bm25(docs, key, queries).withColumn("score", F.round("score", 4)).withColumn("_k", F.lit(k))
-    return first_k(scored, ["query_id"], [F.desc("score"), F.asc(key)], "_k", k).drop("_k")
-
-
 @lru_cache(1 << 17)
 def _cell(token: str, dimensions: int) -> tuple[int, int]:
     h = hashlib.sha1(token.encode()).digest()  # noqa: S324 - a fixed hash, not a secret
@@ -79,15 +77,70 @@ def _cell(token: str, dimensions: int) -> tuple[int, int]:
 _TOKEN = re.compile("[a-z0-9]+")
 
 
-def embed(texts: list[list[str]], dimensions: int = 256) -> np.ndarray:
-    """Hashed embeddings of lists of tokens, one per row."""
-    out = np.zeros((len(texts), dimensions))
-    for row, ts in zip(out, texts, strict=True):
-        for t, n in Counter(ts).items():
-            i, s = _cell(t, dimensions)
-            row[i] += s * n
-    norm = np.linalg.norm(out, axis=1, keepdims=True)
-    return out / np.where(norm > 0, norm, 1)
+def _prepared(rows: DataFrame, text: str, dimensions: int) -> DataFrame:
+    """rows without their text and with n (tokens), terms, tfs and cells: the counts of a hashed embedding as 16-bit numbers."""
+    keep = [f for f in rows.schema if f.name != text]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = {f.name: b[f.name] for f in keep} | {k: [] for k in ("n", "terms", "tfs", "cells")}
+            for t in b[text]:
+                words = Counter(_TOKEN.findall(t.lower()) if isinstance(t, str) else [])
+                cells = np.zeros(dimensions, np.int64)
+                for w, c in words.items():
+                    i, sign_ = _cell(w, dimensions)
+                    cells[i] += sign_ * c
+                out["n"].append(sum(words.values()))
+                out["terms"].append(list(words))
+                out["tfs"].append(list(words.values()))
+                out["cells"].append(np.clip(cells, -32767, 32767).astype(np.int16).tobytes())
+            yield pd.DataFrame(out)
+
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in keep), "n int, terms array<string>, tfs array<int>, cells binary"])
+    return rows.mapInPandas(run, schema)
+
+
+def _unit(cells: pd.Series) -> np.ndarray:
+    x = np.frombuffer(b"".join(cells), np.int16).reshape(len(cells), -1).astype(float)
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(norm > 0, norm, 1)
+
+
+def _keyword(cs: pd.DataFrame, qs: pd.DataFrame) -> np.ndarray:
+    """Keyword scores of a block of queries (rows) and chunks (columns)."""
+    wanted = pd.Index(sorted({w for t in qs["terms"] for w in t}), dtype=object)
+    lengths = cs["terms"].map(len).to_numpy()
+    code = wanted.get_indexer(np.concatenate([np.array([], object), *cs["terms"]]))
+    hit = code >= 0
+    row, tf = np.repeat(np.arange(len(cs)), lengths)[hit], np.concatenate([np.array([], np.int64), *cs["tfs"]])[hit]
+    order = np.argsort(code[hit], kind="stable")
+    row, tf = row[order], tf[order]
+    edge = np.searchsorted(code[hit][order], np.arange(len(wanted) + 1))
+    size, key = cs["n"].to_numpy(float), np.zeros((len(qs), len(cs)))
+    for out, q in zip(key, qs.itertuples(index=False), strict=True):
+        df = dict(q.df) if q.df is not None else {}
+        for w, n in sorted(zip(q.terms, q.tfs, strict=True)):
+            k, d = wanted.get_loc(w), df.get(w, 0)
+            i, f = row[edge[k] : edge[k + 1]], tf[edge[k] : edge[k + 1]]
+            out[i] += n * math.log1p((q.docs - d + 0.5) / (d + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * size[i] / (q.mean or 1)))
+    return key
+
+
+def _first(score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k greatest scores, equal ones in order of place."""
+    at = max(0, len(score) - k)
+    near = np.flatnonzero(score >= np.partition(score, at)[at])
+    return near[np.argsort(-score[near], kind="stable")[:k]]
+
+
+def _joined(base: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Prepared chunks and queries, written once; queries with the statistics of their terms. Only terms that are asked for leave the tasks."""
+    base, asked = stored(base, "chunks"), stored(asked, "queries")
+    words = asked.select(F.explode("terms").alias("term")).distinct()
+    df = base.select(F.explode("terms").alias("term")).join(words, "term").groupBy("term").agg(F.count("*").alias("df"))
+    known = asked.select("query_id", F.explode("terms").alias("term")).join(df, "term").groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "df"))).alias("df"))
+    shape = base.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
+    return base, stored(asked.join(known, "query_id", "left").join(F.broadcast(shape)), "queries")  # shape: one row
 
 
 def _grid(rows: DataFrame, key: str, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -97,6 +150,32 @@ def _grid(rows: DataFrame, key: str, queries: DataFrame) -> tuple[DataFrame, Dat
     return rows.withColumn("_r", own(key, nr)).withColumn("_q", every(nq)).groupBy("_r", "_q"), queries.withColumn("_q", own("query_id", nq)).withColumn("_r", every(nr)).groupBy("_r", "_q")
 
 
+def bm25_topk(docs: DataFrame, key: str, queries: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, key, score, place) of the k best rows of docs(key, text), unique keys, that have a term of the query.
+
+    Scores to 4 digits, equal ones by key. The same scores as bm25() gives, without a row for every match: blocks of documents and queries meet and return
+    their best.
+    """
+    asked = queries.where("query_id is not null").groupBy("query_id").agg(F.max("query_text").alias("query_text"))
+    base, asked = _joined(_prepared(docs.select(key, "text"), "text", 1), _prepared(asked, "query_text", 1))
+    kind = dict(base.dtypes)[key]
+
+    def meet(cs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(cs) and len(qs):
+            cs = cs.sort_values(key, kind="stable")
+            keys = cs[key].to_numpy()
+            for q, raw in zip(qs["query_id"], _keyword(cs, qs), strict=True):
+                top = _first(np.where(raw > 0, np.round(raw, 4), -1.0), k)
+                top = top[raw[top] > 0]
+                out.append(pd.DataFrame({"query_id": q, key: keys[top], "score": np.round(raw[top], 4)}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], key: [], "score": []})
+
+    left, right = _grid(base.drop("cells"), key, asked.drop("cells"))
+    met = left.cogroup(right).applyInPandas(meet, f"query_id bigint, {key} {kind}, score double").withColumn("_k", F.lit(k))
+    return first_k(met, ["query_id"], [F.desc("score"), F.asc(key)], "_k", k).drop("_k")
+
+
 def cosine_topk(vectors: DataFrame, key: str, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, key, score, place): the k most similar of vectors(key, embedding) for queries(query_id, embedding), another key each.
 
@@ -132,39 +211,14 @@ def hybrid(chunks: DataFrame, queries: DataFrame, pages: DataFrame, weight: floa
     the same) and blended. Scores to 4 digits; equal ones by page and seq. Repeated chunks count once. top_k must be
     in 1..25; queries with another one, or none, have no rows. The label says which side had any signal. A page that is missing leaves ''.
     """
-    from lodeseam.functions.text import tokens as split
-
     base = chunks.where("id is not null").groupBy("id").agg(F.max(F.struct("page_id", "seq", "text")).alias("c")).select("id", "c.*")
-    base = stored(base.withColumn("t", F.coalesce(split(F.col("text")), F.array().cast("array<string>"))), "chunks")
     asked = queries.where("query_id is not null and top_k between 1 and 25")
-    asked = asked.groupBy("query_id").agg(F.max(F.struct("query_text", "top_k")).alias("q")).select("query_id", "q.*").withColumn("t", F.coalesce(split(F.col("query_text")), F.array().cast("array<string>")))
-    words = asked.select(F.explode(F.array_distinct("t")).alias("term")).distinct()
-    df = base.select(F.explode(F.array_distinct("t")).alias("term")).join(words, "term").groupBy("term").agg(F.count("*").alias("df"))
-    known = asked.select("query_id", F.explode(F.array_distinct("t")).alias("term")).join(df, "term").groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "df"))).alias("df"))
-    shape = base.agg(F.count("*").alias("docs"), F.avg(F.size("t")).alias("mean"))
-    asked = stored(asked.join(known, "query_id", "left").join(F.broadcast(shape)), "queries")  # shape: one row
-    one = base.select("id", "page_id", "seq", "t")
-
-    def scores(cs: pd.DataFrame, qs: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        texts = [list(t) for t in cs["t"]]
-        sem = embed([list(t) for t in qs["t"]], dimensions) @ embed(texts, dimensions).T
-        place: dict[str, list[tuple[int, int]]] = {}
-        wanted = {w for t in qs["t"] for w in t}
-        for i, t in enumerate(texts):
-            for w, n in Counter(t).items():
-                if w in wanted:
-                    place.setdefault(w, []).append((i, n))
-        size, key = np.array([len(t) for t in texts], float), np.zeros_like(sem)
-        for row, q in zip(key, qs.itertuples(index=False), strict=True):
-            df = dict(q.df) if q.df is not None else {}
-            for w, n in sorted(Counter(q.t).items()):
-                at = np.array(place.get(w, []), int).reshape(-1, 2)
-                i, tf = at[:, 0], at[:, 1]
-                row[i] += n * math.log1p((q.docs - df.get(w, 0) + 0.5) / (df.get(w, 0) + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[i] / (q.mean or 1)))
-        return sem, key
+    asked = asked.groupBy("query_id").agg(F.max(F.struct("query_text", "top_k")).alias("q")).select("query_id", "q.*")
+    base, asked = _joined(_prepared(base.withColumn("body", F.col("text")), "body", dimensions), _prepared(asked, "query_text", dimensions))
+    one = base.select("id", "page_id", "seq", "n", "terms", "tfs", "cells")
 
     def spans(cs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
-        sem, key = scores(cs, qs) if len(cs) and len(qs) else (np.zeros((0, 1)), np.zeros((0, 1)))
+        sem, key = (_unit(qs["cells"]) @ _unit(cs["cells"]).T, _keyword(cs, qs)) if len(cs) and len(qs) else (np.zeros((0, 1)), np.zeros((0, 1)))
         ids = qs["query_id"].to_numpy() if len(sem) else []
         return pd.DataFrame({"query_id": ids, "s0": sem.min(1), "s1": sem.max(1), "k0": key.min(1), "k1": key.max(1)})
 
@@ -172,11 +226,11 @@ def hybrid(chunks: DataFrame, queries: DataFrame, pages: DataFrame, weight: floa
         out = []
         if len(cs) and len(qs):
             cs = cs.sort_values(["page_id", "seq", "id"], kind="stable")
-            sem, key = scores(cs, qs)
+            sem, key = _unit(qs["cells"]) @ _unit(cs["cells"]).T, _keyword(cs, qs)
             for q, s, k in zip(qs.itertuples(index=False), sem, key, strict=True):
                 norm = lambda x, lo, hi: (x - lo) / (hi - lo) if hi - lo > NONE else np.zeros_like(x)
                 score = np.round(weight * norm(s, q.s0, q.s1) + (1 - weight) * norm(k, q.k0, q.k1), 4)
-                top = np.argsort(-score, kind="stable")[: q.top_k]
+                top = _first(score, q.top_k)
                 method = np.where(k[top] <= NONE, "semantic", np.where(s[top] <= NONE, "keyword", "hybrid"))
                 out.append(pd.DataFrame({"query_id": q.query_id, "chunk_id": cs["id"].to_numpy()[top], "page_id": cs["page_id"].to_numpy()[top], "seq": cs["seq"].to_numpy()[top], "score": score[top], "method": method, "top_k": q.top_k}))
         names = ["query_id", "chunk_id", "page_id", "seq", "score", "method", "top_k"]
