@@ -131,13 +131,33 @@ _SCORED = """m AS (SELECT upper(trim(method)) AS method, CASE WHEN lower(better)
           FROM (SELECT *, CAST(rank() OVER (PARTITION BY query_id, method ORDER BY v) AS DOUBLE) AS rank FROM s) GROUP BY ALL)"""
 _SPACE = r"[\t\x0b\f\r\x1c-\x1f\x{85}\p{Z}]+"
 
+_LINES = f"""{_CURRENT},
+    docs AS (SELECT id, upper(domain) AS d, text, string_split(regexp_replace(regexp_replace(lower(upper(replace(text, 'ß', 'ss'))), '[0-9]+', '0', 'g'), '{_SPACE}', ' ', 'g'), chr(10)) AS l FROM cur WHERE text IS NOT NULL),
+    w AS (SELECT id, d, unnest(range(len(l))) AS line_no, unnest(string_split(text, chr(10))) AS raw, trim(unnest(l)) AS w FROM docs),
+    n AS (SELECT d, w, count(DISTINCT id) AS n FROM w WHERE w <> '' GROUP BY ALL),
+    k AS (SELECT n.d, n.w FROM n JOIN (SELECT d, count(*) AS c FROM docs GROUP BY d) USING (d) WHERE n >= 5 AND 5 * n >= c)"""
+
+
+def _inside(at: str) -> str:
+    left, right = f"regexp_extract(substring(w, greatest(1, {at} - 40), {at} - greatest(1, {at} - 40)), '[\\p{{L}}\\p{{N}}]*$')", f"regexp_extract(substring(w, {at}, 40), '^[\\p{{L}}\\p{{N}}]*')"
+    return f"(length({left}) > 0 AND length({right}) > 0 AND length({left}) + length({right}) < 40)"
+
+
+_LONGEST = "coalesce(list_max(list_filter(range(80, least(length(b), length(t)) + 1), lambda k: substring(b, length(b) - k + 1, k) = substring(t, 1, k))), 0)"
+_FINE = "not isnan(x) AND abs(x) < 'infinity'"
+
 SQL = {
-    "p2_found": f"""WITH {_CURRENT},
-        docs AS (SELECT id, upper(domain) AS d, string_split(regexp_replace(regexp_replace(lower(upper(replace(text, 'ß', 'ss'))), '[0-9]+', '0', 'g'), '{_SPACE}', ' ', 'g'), chr(10)) AS l FROM cur WHERE text IS NOT NULL),
-        w AS (SELECT id, d, unnest(range(len(l))) AS line_no, trim(unnest(l)) AS w FROM docs),
-        n AS (SELECT d, w, count(DISTINCT id) AS n FROM w WHERE w <> '' GROUP BY ALL),
-        k AS (SELECT n.d, n.w FROM n JOIN (SELECT d, count(*) AS c FROM docs GROUP BY d) USING (d) WHERE n >= 5 AND 5 * n >= c)
-        SELECT id, CAST(line_no AS INTEGER) AS line_no FROM w JOIN k USING (d, w)""",
+    "p2_found": f"WITH {_LINES} SELECT id, CAST(line_no AS INTEGER) AS line_no FROM w JOIN k USING (d, w)",
+    "p2_texts": f"""WITH {_LINES}, rest AS (SELECT id, string_agg(raw, chr(10) ORDER BY line_no) AS text FROM w ANTI JOIN k USING (d, w) GROUP BY id)
+        SELECT cur.id, CASE WHEN cur.text IS NOT NULL THEN coalesce(rest.text, '') END AS text FROM cur LEFT JOIN rest USING (id)""",
+    "p3_found": f"""WITH {_CURRENT}, c AS (SELECT DISTINCT page_id, seq, text AS t FROM chunks WHERE page_id IS NOT NULL AND seq IS NOT NULL),
+        j AS (SELECT c.page_id, seq, t, text AS w, lag(t) OVER (PARTITION BY c.page_id ORDER BY seq) AS b FROM c JOIN cur ON cur.id = c.page_id WHERE text IS NOT NULL),
+        p AS (SELECT *, list_filter(range(1, length(w) - length(t) + 2), lambda i: substring(w, i, length(t)) = t) AS places FROM j)
+        SELECT DISTINCT page_id, seq FROM p WHERE t IS NULL OR length(t) > 1200 OR len(places) = 0 OR (b IS NOT NULL AND {_LONGEST} NOT BETWEEN 80 AND 160)
+        OR len(list_filter(places, lambda i: NOT {_inside('i')} AND NOT {_inside('(i + length(t))')})) = 0""",
+    "p5_found": f"""WITH v AS (SELECT DISTINCT id, CAST(embedding AS DOUBLE[]) AS v FROM chunks WHERE id IS NOT NULL AND len(embedding) > 0
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT ({_FINE}))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)
+        SELECT a.id AS id_a, b.id AS id_b FROM v a JOIN v b ON len(a.v) = len(b.v) AND a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.9""",
     "p4_found": f"""WITH {_SCORED} SELECT query_id, chunk_id FROM (SELECT f.query_id, chunk_id, top_k, row_number() OVER (PARTITION BY f.query_id ORDER BY total DESC, chunk_id) AS p
         FROM f JOIN search_query q ON q.query_id = f.query_id) WHERE p <= top_k""",
     "p4_ranking": f"WITH {_SCORED} SELECT * FROM f",
