@@ -30,14 +30,11 @@ def resolve(nodes: DataFrame, paths: bool = False) -> DataFrame:
     nodes = nodes.select("id", F.col("parent"))
     known = nodes.select(F.col("id").alias("_known"))
     whole = (lambda seg: [seg.alias("path")]) if paths else (lambda seg: [])
-    first = nodes.join(known, F.col("parent") == F.col("_known"), "left").select(
-        "id",
-        "parent",
-        F.coalesce("parent", "id").alias("up"),
-        F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("hops"),
-        F.when(F.col("parent").isNull(), "root").when(F.col("_known").isNull(), "orphan").alias("state"),
-        *whole(F.array("id")),
-    )
+    # roots need no lookup; as null keys they would all meet in one task
+    tops = nodes.where("parent is null").select("id", "parent", F.col("id").alias("up"), F.lit(0).cast("long").alias("hops"), F.lit("root").alias("state"), *whole(F.array("id")))
+    others = nodes.where("parent is not null").join(known, F.col("parent") == F.col("_known"), "left")
+    others = others.select("id", "parent", F.col("parent").alias("up"), F.lit(1).cast("long").alias("hops"), F.when(F.col("_known").isNull(), "orphan").alias("state"), *whole(F.array("id")))
+    first = tops.unionByName(others)
     table = stored(first, "links")
     done, open_ = [table.where("state is not null")], table.where("state is null")
     left, before, loops = open_.count(), None, False

@@ -272,7 +272,7 @@ def _bm25(source: str, key: str) -> str:
 
 
 def _topk(key: str) -> str:
-    return f"SELECT * FROM (SELECT query_id, {key}, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, {key}) AS place FROM s) WHERE place <= 10"
+    return f"SELECT * FROM (SELECT query_id, {key}, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, {key}) AS INTEGER) AS place FROM s) WHERE place <= 10"
 
 
 def _chunk_sql(source: str, key: str) -> str:
@@ -310,7 +310,7 @@ _HOST = "regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)"
 _PATH = "CASE WHEN regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^#]*)', 1) END"
 
 SQL = {
-    "tokenize_documents": f"SELECT doc_id, len({_TOKENS}) AS n_tokens, array_to_string({_TOKENS}, ' ') AS tokens FROM documents WHERE text IS NOT NULL",
+    "tokenize_documents": f"SELECT doc_id, CAST(len({_TOKENS}) AS INTEGER) AS n_tokens, array_to_string({_TOKENS}, ' ') AS tokens FROM documents WHERE text IS NOT NULL",
     "doc_term_freq": f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents) GROUP BY ALL",
     "doc_freq": f"SELECT term, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct({_TOKENS})) AS term FROM documents) GROUP BY ALL",
     "hash_embed": f"""WITH t AS (SELECT doc_id, unnest({_TOKENS}) AS t FROM documents), h AS (SELECT t, sha1(t) AS x FROM (SELECT DISTINCT t FROM t)),
