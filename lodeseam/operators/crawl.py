@@ -7,6 +7,7 @@ outcomes and links of a level are written to the shared folder; nothing but coun
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeseam.config import Settings
+from lodeseam.functions.embed import embedder
 from lodeseam.functions.text import page_id
 from lodeseam.functions.urls import netloc, resolved, robots_url, without_slash
 from lodeseam.operators import store as ST
@@ -39,11 +41,12 @@ class Crawl:
     root_id: str
 
 
-def crawl(spark: SparkSession, source: PageSource, root: str, old_pages: DataFrame, old_links: DataFrame, settings: Settings, now: datetime) -> Crawl:
+def crawl(spark: SparkSession, source: PageSource, root: str, old_pages: DataFrame, old_links: DataFrame, settings: Settings, now: datetime, on_level: Callable[[DataFrame], None] | None = None) -> Crawl:
     """Reads the site under root. old_pages, old_links: what is stored of it, for conditional requests and unread pages.
 
     max_pages, which must be above 0, counts pages that were read; unchanged ones are free. Links found at max_depth
-    that were not seen before make the crawl truncated, as do pages left when max_pages is reached.
+    that were not seen before make the crawl truncated, as do pages left when max_pages is reached. on_level is called
+    with the outcomes (url, status, depth, parent_id) of each level as soon as it is read.
     """
     if settings.max_pages < 1 or settings.max_depth < 0:
         raise ValueError("max_pages must be above 0 and max_depth not below")
@@ -76,6 +79,8 @@ def crawl(spark: SparkSession, source: PageSource, root: str, old_pages: DataFra
         done = reduce(DataFrame.unionByName, level).withColumn("id", page_id(F.lit(root_url), F.col("url")))
         label = F.when(F.col("status") == "fetched", "indexed").when(F.col("status") == "not_modified", "unchanged").otherwise("failed")
         outcomes.append(done.select("url", label.alias("status"), "depth", "parent_id"))
+        if on_level:
+            on_level(outcomes[-2].unionByName(outcomes[-1]))
         fetched = done.where("status = 'fetched'")
         name = F.when(F.col("x.title") != "", F.col("x.title")).otherwise(F.col("url"))
         pages.append(fetched.select("id", "url", name.alias("title"), F.col("x.text").alias("text"), F.lit(domain).alias("domain"), "depth", "parent_id", F.lit(root_id).alias("root_id"), F.lit(now).cast("timestamp_ntz").alias("crawled_at"), F.col("new_etag").alias("etag"), F.col("new_modified").alias("last_modified")))
@@ -119,7 +124,7 @@ def indexed(result: Crawl, old: ST.Store, settings: Settings, now: datetime) ->
     after = ST.touched(pages, same, F.lit(now).cast("timestamp_ntz")).join(same, ["root_id", "url"], "left")
     after = after.withColumn("depth", F.coalesce("_depth", "depth")).withColumn("parent_id", F.when(F.col("_depth").isNotNull(), F.col("_parent")).otherwise(F.col("parent_id"))).select(*pages.columns)
     after = ST.upserted(after, new)
-    parts = ST.replaced(chunks, new, settings.chunk_size, settings.chunk_overlap)
+    parts = ST.replaced(chunks, new, settings.chunk_size, settings.chunk_overlap, embedder(settings.embedder, settings.embedding_dimensions))
     edges = links.join(new.select(F.col("id").alias("source_id")), "source_id", "left_anti").select(*links.columns).unionByName(result.links)
     pruned = 0
     if settings.prune_missing and not result.truncated:

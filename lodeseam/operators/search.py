@@ -7,12 +7,9 @@ query, so chunks and queries meet in a grid of blocks of bounded size and each c
 
 from __future__ import annotations
 
-import hashlib
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -20,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodeseam.functions.embed import TOKEN, cells
 from lodeseam.functions.text import bucket, sign, tokens
 from lodeseam.operators.ranking import first_k
 from lodeseam.session import stored
@@ -68,15 +66,6 @@ def bm25(docs: DataFrame, key: str, queries: DataFrame) -> DataFrame:
     return hits.join(asked.join(df, "term"), "term").join(F.broadcast(shape)).groupBy("query_id", key).agg(F.sum(part).alias("score"))  # shape: one row
 
 
-@lru_cache(1 << 17)
-def _cell(token: str, dimensions: int) -> tuple[int, int]:
-    h = hashlib.sha1(token.encode()).digest()  # noqa: S324 - a fixed hash, not a secret
-    return int.from_bytes(h[:4], "big") % dimensions, 1 if h[4] % 2 == 0 else -1
-
-
-_TOKEN = re.compile("[a-z0-9]+")
-
-
 def _prepared(rows: DataFrame, text: str, dimensions: int) -> DataFrame:
     """rows without their text and with n (tokens), terms, tfs and cells: the counts of a hashed embedding as 16-bit numbers."""
     keep = [f for f in rows.schema if f.name != text]
@@ -85,15 +74,11 @@ def _prepared(rows: DataFrame, text: str, dimensions: int) -> DataFrame:
         for b in batches:
             out = {f.name: b[f.name] for f in keep} | {k: [] for k in ("n", "terms", "tfs", "cells")}
             for t in b[text]:
-                words = Counter(_TOKEN.findall(t.lower()) if isinstance(t, str) else [])
-                cells = np.zeros(dimensions, np.int64)
-                for w, c in words.items():
-                    i, sign_ = _cell(w, dimensions)
-                    cells[i] += sign_ * c
+                words = Counter(TOKEN.findall(t.lower()) if isinstance(t, str) else [])
                 out["n"].append(sum(words.values()))
                 out["terms"].append(list(words))
                 out["tfs"].append(list(words.values()))
-                out["cells"].append(np.clip(cells, -32767, 32767).astype(np.int16).tobytes())
+                out["cells"].append(np.clip(cells(words, dimensions), -32767, 32767).astype(np.int16).tobytes())
             yield pd.DataFrame(out)
 
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in keep), "n int, terms array<string>, tfs array<int>, cells binary"])

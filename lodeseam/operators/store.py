@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeseam import session as S
+from lodeseam.functions.embed import Embedder, embedder
 from lodeseam.functions.text import chunk_id, chunks
 
 PAGES = "id string, url string, title string, text string, domain string, depth int, parent_id string, root_id string, crawled_at timestamp_ntz, etag string, last_modified string"
@@ -39,10 +40,11 @@ def touched(pages: DataFrame, urls: DataFrame, now: Column) -> DataFrame:
     return hit.select(*[F.when(F.col("_t"), now).otherwise(F.col(c)).alias(c) if c == "crawled_at" else F.col(c) for c in pages.columns])
 
 
-def replaced(old_chunks: DataFrame, pages: DataFrame, size: int = 1200, overlap: int = 150) -> DataFrame:
-    """Chunks with those of the given pages made anew; a page that has become empty loses its old ones."""
+def replaced(old_chunks: DataFrame, pages: DataFrame, size: int = 1200, overlap: int = 150, by: Embedder | None = None) -> DataFrame:
+    """Chunks with those of the given pages made anew and embedded; a page that has become empty loses its old ones."""
+    by = by or embedder()
     new = pages.select("id", F.posexplode(chunks(F.col("text"), size, overlap)).alias("seq", "text"))
-    new = new.select(chunk_id(F.col("id"), F.col("seq")).alias("id"), F.col("id").alias("page_id"), "seq", "text", F.lit(None).cast("array<float>").alias("embedding"))
+    new = new.select(chunk_id(F.col("id"), F.col("seq")).alias("id"), F.col("id").alias("page_id"), "seq", "text", by.column(F.col("text")).alias("embedding"))
     return old_chunks.join(pages.select(F.col("id").alias("page_id")).distinct(), "page_id", "left_anti").select(*new.columns).unionByName(new)
 
 

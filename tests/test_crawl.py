@@ -48,6 +48,10 @@ def test_first_crawl(spark, tmp_path):
     assert {k: v.depth for k, v in pages.items()} == {"": 0, "/install": 1, "/api": 1, "/install/docker": 2}
     assert pages["/install/docker"].parent_id == pages["/install"].id and pages[""].parent_id is None and pages["/api"].root_id == pages[""].id
     assert {(r.depth, r.url.removeprefix(ROOT)) for r in sites.subtree(store.pages).join(store.pages.select("id", "url"), "id").collect()} == {(0, ""), (1, "/install"), (1, "/api"), (2, "/install/docker")}
+    assert {len(r.embedding) for r in store.chunks.collect()} == {256}
+    met = []
+    C.crawl(spark, source(spark, SITE), ROOT, store.pages, store.links, Settings(respect_robots=False), NOW, lambda level: met.append(level.count()))
+    assert met == [1, 2, 1]
     again, m = run(spark, store, source(spark, SITE))
     assert m["pages_crawled"] == 4 and store.counts().first() == (4, 4)
 

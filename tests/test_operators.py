@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodeseam import session as S
 from lodeseam.config import Settings, from_env
+from lodeseam.functions import embed
 from lodeseam.functions import text as T
 from lodeseam.functions import urls as U
 from lodeseam.operators import changes as C
@@ -178,6 +179,24 @@ def test_text_columns(spark):
     assert v[0].v == pytest.approx([0.6, 0.8]) and v[1].v == [0, 0]
 
 
+def test_embedders(spark):
+    df = spark.createDataFrame([(1, "ab cd ab"), (2, ""), (3, None)], "i int, text string")
+    e = {r.i: r.e for r in df.select("i", embed.embedder("hashing", 16).column(F.col("text")).alias("e")).collect()}
+    cells_ = {(r.i, r.bucket): r.value for r in search.hash_embedding(df, "i", 16).collect()}
+    assert all(e[1][b] == pytest.approx(cells_.get((1, b), 0.0)) for b in range(16)) and e[2] == [0.0] * 16 and e[3] is None
+
+    class Length:
+        dimensions = 1
+
+        def column(self, text):
+            return F.array(F.length(text).cast("float"))
+
+    embed.register("length", lambda dimensions: Length())
+    assert embed.embedder("length").dimensions == 1 and isinstance(embed.embedder("what"), embed.HashingEmbedder)
+    with pytest.raises(ValueError):
+        embed.HashingEmbedder(0)
+
+
 def test_current_rows(spark):
     df = spark.createDataFrame([("a", stamp(1), 1, "x"), ("a", stamp(2), 1, "y"), ("a", stamp(2), 2, "y"), ("a", None, 9, "z"), (None, stamp(5), 1, "n"), ("b", None, None, None)], "id string, crawled_at timestamp_ntz, run_no int, t string")
     assert {tuple(r) for r in current_rows(df, t=F.col("t")).collect()} == {("a", "y"), ("b", None)}
