@@ -193,7 +193,7 @@ def pairs(vectors: DataFrame, cosine: float = 0.9, block: int = BLOCK) -> DataFr
 class Tree:
     """A kd-tree over projections of unit vectors, for searches that stop by the chi-square test."""
 
-    def __init__(self, x: np.ndarray, m: int = 8, leaf: int = 512):
+    def __init__(self, x: np.ndarray, m: int = 8, leaf: int = 2048):
         self.x, self.g = x, directions(x.shape[1], m)
         p, todo, self.leaves = x @ self.g, [np.arange(len(x))], []
         while todo:
@@ -222,10 +222,20 @@ class Tree:
             active, leaf = active[go], leaf[go]
             if not len(active):
                 break
-            for one in np.unique(leaf):
-                who, rows = active[leaf == one], self.leaves[one]
-                score = np.concatenate([best[who], q[who] @ self.x[rows].T], 1)
-                index = np.concatenate([at[who], np.broadcast_to(rows, (len(who), len(rows)))], 1)
+            by_leaf = np.argsort(leaf, kind="stable")
+            for who in np.split(active[by_leaf], np.flatnonzero(np.diff(leaf[by_leaf])) + 1):
+                rows = self.leaves[order[who[0], step]]
+                score = q[who] @ self.x[rows].T
+                won = np.flatnonzero((score > best[who, -1:]).any(1))  # few, once the first leaves are seen
+                if not len(won):
+                    continue
+                who, score = who[won], score[won]
+                if score.shape[1] > k:
+                    near = np.argpartition(-score, k - 1, axis=1)[:, :k]
+                    score, index = np.take_along_axis(score, near, 1), rows[near]
+                else:
+                    index = np.broadcast_to(rows, score.shape)
+                score, index = np.concatenate([best[who], score], 1), np.concatenate([at[who], index], 1)
                 top = np.argsort(-score, axis=1, kind="stable")[:, :k]
                 best[who], at[who] = np.take_along_axis(score, top, 1), np.take_along_axis(index, top, 1)
         return best, at
@@ -234,7 +244,8 @@ class Tree:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, sure: float = 0.9, rows_per_block: int = 50_000, queries_per_block: int = 5_000) -> DataFrame:
     """(id, neighbour, cosine, place): for each query the k most similar vectors of the same length with another id.
 
-    vectors, queries(id, embedding). Fewer than k if there are not so many. Equal cosines go by id.
+    vectors, queries(id, embedding). Fewer than k if there are not so many. Equal cosines go by id; which of those that
+    are equal at the last place are given is open.
     """
     base, asked = stored(usable(vectors).groupBy("id").agg(F.max("v").alias("v")), "vectors"), stored(usable(queries).groupBy("id").agg(F.max("v").alias("v")), "queries")
     nb, qb = max(1, math.ceil(base.count() / rows_per_block)), max(1, math.ceil(asked.count() / queries_per_block))
@@ -249,8 +260,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, sure: float = 0
         ids, q_ids = vs["id"].to_numpy(), qs["id"].to_numpy()
         tree, out = Tree(_units(np.stack(vs["v"]))), []
         q = _units(np.stack(qs["v"]))
-        for a in range(0, len(q), 1024):
-            best, at = tree.search(q[a : a + 1024], k + 1, sure)
+        for a in range(0, len(q), 4096):
+            best, at = tree.search(q[a : a + 4096], k + 1, sure)
             row, col = np.nonzero(at >= 0)
             out.append(pd.DataFrame({"id": q_ids[a + row], "neighbour": ids[at[row, col]], "cosine": best[row, col].astype(float)}))
         all_ = pd.concat(out)
