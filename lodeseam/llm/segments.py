@@ -64,12 +64,10 @@ def valleys(text: str, gaps: list[int]) -> list[float]:
         sims.append(dot / norm**0.5 if norm else 0.0)
     depth = [0.0] * len(gaps)
     for order in (range(len(gaps)), range(len(gaps) - 1, -1, -1)):
-        peak, last = 0.0, 2.0
+        peak = last = -1.0
         for k in order:
-            peak = sims[k] if sims[k] < 0 or last == 2.0 else max(peak, sims[k]) if sims[k] >= last else max(peak, last)
-            if sims[k] > last and sims[k] >= peak:
-                peak = sims[k]
-            depth[k] += max(0.0, peak - sims[k])
+            peak = peak if last >= sims[k] else sims[k]  # the height reached by climbing from here, as long as it goes up
+            depth[k] += peak - sims[k]
             last = sims[k]
     return depth
 

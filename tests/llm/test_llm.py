@@ -84,6 +84,15 @@ def test_pieces_keep_the_rules():
         segments.split("x", 10, 9)
 
 
+def test_valleys_lie_between_topics():
+    cats, dogs = "The cat purrs at the cat bowl. ", "A dog barks near that dog house. "
+    text = cats * 12 + dogs * 12
+    gaps = [m.end() for m in segments._SENTENCE.finditer(text)][:-1]
+    depth = segments.valleys(text, gaps)
+    assert abs(gaps[depth.index(max(depth))] - len(cats) * 12) <= 2 and min(depth) >= 0
+    assert segments.valleys("", []) == []
+
+
 def test_audit(spark):
     text = " ".join(f"word{i}" for i in range(400))
     good = [(text[a:e]) for a, e in segments.split(text)]
