@@ -1,14 +1,17 @@
 """Lines repeated over the documents of one source, found as templates of token trees.
 
 A line is parsed into a token tree of fixed depth: below the source the first level is the number of tokens, the next
-levels are the first DEPTH tokens with runs of digits as wildcard slots, and a leaf holds the wordings below it with the
-number of documents of each. Each task builds its part of the trees (Spark's partial aggregation keyed by source, path
-and wording); the shuffle merges the parts, after which the exact cover of every wording of a leaf decides. A template
-shows the tokens that all repeated wordings of a leaf share and a wildcard where they differ.
-
-Every document brings each of its wordings once, hashed to 16 bytes, so neither texts nor repeats within a document are
-shuffled. The repeated wordings of a source are few (each covers at least min_share of its documents) and are joined to
-its documents by source and salt, so a source of a third of all rows is spread over SALTS times as many tasks.
+levels are the first DEPTH tokens with runs of digits as wildcard slots, and a leaf holds all wordings below it. Each task
+builds its part of the trees (Spark's partial aggregation keyed by source and leaf); the shuffle merges the parts into
+the cover of every leaf, its number of distinct documents. Leaves of too small a cover are pruned with all their
+wordings. A leaf that is left is a template: the tokens that all its wordings share and a wildcard where they differ.
+
+A repeated line is a single wording of enough documents. The cover of its leaf is at least as large, so the exact cover of
+the wordings below the leaves that are left decides, and nothing is lost by pruning.
+
+Every document brings each of its leaves and wordings once, as hashes; texts are shuffled for templates only, and there
+only those below leaves that are left. These are few for a source (each covers at least min_share of its documents) and
+are joined to its documents by source and salt, so a source of a third of all rows is spread over SALTS times as many tasks.
 """
 
 from __future__ import annotations
@@ -31,32 +34,47 @@ def wordings(text: Column) -> Column:
     return F.transform(F.split(plain, "\n"), lambda x: F.trim(x))
 
 
-def parsed(text: Column) -> Column:
-    """Array of (leaf, word) of the lines: hashes of the tree path and of the wording; null for blank lines."""
-
+def _parsed(words: Column) -> Column:
     def one(w: Column) -> Column:
         tokens = F.split(w, " ", DEPTH + 1)
         leaf = F.xxhash64(F.length(w) - F.length(F.translate(w, " ", "")), F.slice(tokens, 1, DEPTH))
         return F.when(w != "", F.struct(leaf.alias("leaf"), F.xxhash64(w).alias("word")))
 
-    return F.transform(wordings(text), one)
+    return F.transform(words, one)
+
+
+def parsed(text: Column) -> Column:
+    """Array of (leaf, word) of the lines: hashes of the tree path and of the wording; null for blank lines."""
+    return _parsed(wordings(text))
+
+
+def _covering(docs: DataFrame, keys: Column, min_docs: int, min_share: float) -> DataFrame:
+    """(source, key, docs): what stands in enough documents of its source, with their number. keys: array, those of a document."""
+    each = docs.select("source", F.explode(F.array_distinct(keys)).alias("key")).where("key is not null")
+    tree = each.groupBy("source", "key").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
+    sizes = docs.groupBy("source").agg(F.count("*").alias("_all"))
+    return tree.join(sizes, "source").where(F.col("docs") / F.col("_all") >= min_share).drop("_all")
+
+
+def leaves(docs: DataFrame, min_docs: int = 5, min_share: float = 0.2) -> DataFrame:
+    """(source, key, docs): the leaves that are left and their cover, over all wordings below them. docs(source, lines), no null lines."""
+    return _covering(docs, F.col("lines.leaf"), min_docs, min_share)
 
 
 def repeated(docs: DataFrame, min_docs: int = 5, min_share: float = 0.2) -> DataFrame:
-    """(source, lines): for each source with any, the array of (leaf, word) of its repeated wordings.
+    """(source, frequent): for each source with any, the array of (leaf, word) of its repeated wordings.
 
-    docs(source, lines): lines as of parsed(), null where a document has no text; such documents do not count.
+    docs(id, source, lines): lines as of parsed(), null where a document has no text; such documents do not count.
     """
-    docs = docs.where("lines is not null")
-    each = docs.select("source", F.explode(F.array_distinct("lines")).alias("l")).where("l is not null")
-    tree = each.groupBy("source", "l").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
-    sizes = docs.groupBy("source").agg(F.count("*").alias("docs"))
-    kept = tree.join(sizes, "source").where(F.col("n") / F.col("docs") >= min_share)
-    return kept.groupBy("source").agg(F.sort_array(F.collect_list("l")).alias("frequent"))
+    docs = docs.where("lines is not null").select("id", "source", "lines")
+    left = leaves(docs, min_docs, min_share).groupBy("source").agg(F.collect_list("key").alias("left"))
+    below = F.filter("lines", lambda l: F.array_contains("left", l["leaf"]))  # no line where there is no leaf
+    tree = _covering(marked(docs, left), below, min_docs, min_share)
+    return tree.groupBy("source").agg(F.sort_array(F.collect_list("key")).alias("frequent"))
 
 
 def marked(docs: DataFrame, frequent: DataFrame) -> DataFrame:
-    """docs with the array frequent of their source (null where it has none), joined by source and salt."""
+    """docs with the array of their source (null where it has none), joined by source and salt. frequent(source, array)."""
     salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
     spread = frequent.withColumn("_salt", salts)
     return docs.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(spread, ["source", "_salt"], "left").drop("_salt")
@@ -78,12 +96,19 @@ def without_repeats(docs: DataFrame, min_docs: int = 5, min_share: float = 0.2)
 
 
 def templates(docs: DataFrame, min_docs: int = 5, min_share: float = 0.2) -> DataFrame:
-    """(source, template, wordings, docs): the leaves with repeated wordings, <*> where those differ. docs(id, source, text)."""
+    """(source, template, wordings, docs): the leaves that are left, <*> where their wordings differ. docs(id, source, text).
+
+    wordings are the different ones below the leaf, docs the documents with any of them. Slots are merged token by token,
+    so a leaf of many wordings is gathered nowhere.
+    """
     texts = docs.where("source is not null and text is not null").select("id", "source", wordings(F.col("text")).alias("w"))
-    each = texts.select("source", F.explode(F.array_distinct("w")).alias("w")).where("w <> ''")
-    sizes = texts.groupBy("source").agg(F.count("*").alias("all"))
-    kept = each.groupBy("source", "w").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).join(sizes, "source").where(F.col("n") / F.col("all") >= min_share)
-    kept = kept.withColumn("t", F.split("w", " ")).withColumn("path", F.concat(F.array(F.size("t").cast("string")), F.slice("t", 1, DEPTH)))
-    leaf = kept.groupBy("source", "path").agg(F.collect_list("t").alias("ts"), F.count("*").alias("wordings"), F.max("n").alias("docs"))
-    merge = F.aggregate("ts", F.element_at("ts", 1), lambda a, t: F.zip_with(a, t, lambda x, y: F.when(x == y, x).otherwise("<*>")))
-    return leaf.select("source", F.array_join(merge, " ").alias("template"), "wordings", "docs")
+    texts = stored(texts.select("*", _parsed(F.col("w")).alias("lines")), "lines")
+    kept = stored(leaves(texts, min_docs, min_share).withColumnRenamed("key", "leaf"), "leaves")
+    left = kept.groupBy("source").agg(F.collect_list("leaf").alias("left"))
+    lines = F.transform(F.arrays_zip("lines", "w"), lambda x: F.struct(x["lines"]["leaf"].alias("leaf"), x["w"].alias("w")))
+    below = F.filter(lines, lambda x: F.array_contains("left", x["leaf"]))
+    words = marked(texts, left).select("source", F.inline(F.array_distinct(below))).distinct()
+    tokens = words.select("source", "leaf", F.posexplode(F.split("w", " ")).alias("at", "t"))
+    slots = tokens.groupBy("source", "leaf", "at").agg(F.when(F.min("t") == F.max("t"), F.min("t")).otherwise("<*>").alias("slot"), F.count("*").alias("n"))
+    merged = slots.groupBy("source", "leaf").agg(F.sort_array(F.collect_list(F.struct("at", "slot"))).alias("slots"), F.max("n").alias("wordings"))
+    return merged.join(kept, ["source", "leaf"]).select("source", F.array_join(F.col("slots.slot"), " ").alias("template"), "wordings", "docs")

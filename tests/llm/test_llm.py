@@ -62,6 +62,17 @@ def test_repeated_lines(spark):
     assert repeats.repeated_lines(df.where("false")).collect() == []
 
 
+def test_templates_with_slots(spark):
+    """Wordings that are each too rare make a template by what they share; its cover counts a document once."""
+    rows = [(f"p{i}", "A", f"Last edited by user{'x' * i}\nLast edited by other\nSee also the {'x' * i}\nown {'y' * i} text") for i in range(6)]
+    rows += [(f"e{i}", "A", "") for i in range(4)] + [(f"f{i}", "B", f"Last edited by {'x' * i}") for i in range(4)]
+    df = spark.createDataFrame(rows, "id string, source string, text string")
+    got = {tuple(r) for r in repeats.templates(df).select("source", "template", "wordings", "docs").collect()}
+    assert got == {("A", "last edited by <*>", 7, 6), ("A", "see also the <*>", 5, 5)}  # "See also the " of p0 has three tokens
+    lines = df.withColumn("lines", repeats.parsed(F.col("text")))
+    assert {tuple(r) for r in repeats.repeated_lines(lines).collect()} == {(f"p{i}", 1) for i in range(6)}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text("ab .\n中。x!", max_size=400), st.integers(40, 90))
 def test_pieces_cover_the_text(text, size):
