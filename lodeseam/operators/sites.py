@@ -41,6 +41,12 @@ def breadcrumbs(pages: DataFrame) -> DataFrame:
     return steps.join(pages.select(F.col("id").alias("_id"), "url"), F.col("_at") == F.col("_id")).select("id", "step", "url")
 
 
+def levels(pages: DataFrame) -> DataFrame:
+    """(id, depth, parent): the breadth-first level of every page that leads to a root, however deep. A page has one parent, so pointer doubling gives it in log2(depth) rounds."""
+    placed = resolve(pages.select("id", F.col("parent_id").alias("parent"))).where("state = 'root'")
+    return placed.select("id", F.col("depth").cast("int").alias("depth"), "parent")
+
+
 def subtree(pages: DataFrame, top: str | None = None) -> DataFrame:
     """(root_id, id, depth, path): the pages of all trees, or those under one page, with the path of ids that orders them."""
     placed = resolve(pages.select("id", F.col("parent_id").alias("parent")), paths=True).where("state = 'root'")

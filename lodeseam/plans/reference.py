@@ -156,6 +156,11 @@ def bfs_levels(spark, d):
     return C.levels(edges, p.where("parent_id is null").select(F.col("id").alias("url")), 3).select(F.col("url").alias("id"), "depth", "parent")
 
 
+def bfs_all_levels(spark, d):
+    """The levels of all pages that lead to a root, to any depth."""
+    return sites.levels(pages_of(spark, d, "parent_id"))
+
+
 # store
 
 
@@ -247,7 +252,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         tokenize_documents, doc_term_freq, doc_freq, hash_embed, bm25_topk, bm25_documents, cosine_topk, hybrid_search, chunk_documents, chunk_pages, result_metadata, page_ids, url_parts, page_text, page_links,
-        site_roots, site_children, site_siblings, breadcrumbs, subtree, bfs_levels, list_pages, upsert_pages, touch_pages, prune_candidates, chunks_without_page, validators, known_links, table_counts,
+        site_roots, site_children, site_siblings, breadcrumbs, subtree, bfs_levels, bfs_all_levels, list_pages, upsert_pages, touch_pages, prune_candidates, chunks_without_page, validators, known_links, table_counts,
         crawl_outcome_counts, stream_outcomes, throttle_schedule, robots_allowed, robots_delays,
     )
 }
@@ -338,6 +343,7 @@ SQL = {
         e AS (SELECT id, unnest(range(len(p))) AS step, unnest(p) AS spot FROM n) SELECT e.id, CAST(step AS INTEGER) AS step, url FROM e JOIN cur ON cur.id = e.spot""",
     "subtree": f"WITH {_DOWN} SELECT root_id, id, depth, path FROM down",
     "bfs_levels": f"WITH {_DOWN} SELECT d.id, CAST(d.depth AS INTEGER) AS depth, c.parent_id AS parent FROM down d JOIN cur c ON c.id = d.id WHERE d.depth <= 3",
+    "bfs_all_levels": f"WITH {_DOWN} SELECT d.id, CAST(d.depth AS INTEGER) AS depth, c.parent_id AS parent FROM down d JOIN cur c ON c.id = d.id",
     "list_pages": f"WITH {_CUR} SELECT id, url, title, domain, depth, parent_id, root_id, crawled_at FROM cur",
     "upsert_pages": """SELECT id, url, crawled_at, etag FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY run_no > 5 DESC, crawled_at DESC NULLS LAST, run_no DESC) AS n FROM pages WHERE id IS NOT NULL) WHERE n = 1""",
     "touch_pages": f"WITH {_CUR} SELECT id, CASE WHEN url IN (SELECT url FROM crawl_log WHERE run_no = 10 AND status = 'unchanged') AND root_id IS NOT NULL THEN TIMESTAMP '2024-06-01' ELSE crawled_at END AS crawled_at FROM cur",

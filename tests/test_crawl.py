@@ -167,6 +167,12 @@ def test_levels(spark):
     assert got == {("r", 0, None), ("a", 1, "r"), ("b", 1, "r"), ("c", 2, "a")}
 
 
+def test_levels_of_any_depth(spark):
+    rows = [("n0", None), *[(f"n{i}", f"n{i - 1}") for i in range(1, 131)], ("side", "n3"), ("lost", "gone"), ("x", "y"), ("y", "x")]
+    got = {tuple(r) for r in sites.levels(spark.createDataFrame(rows, "id string, parent_id string")).select("id", "depth", "parent").collect()}
+    assert got == {(f"n{i}", i, f"n{i - 1}" if i else None) for i in range(131)} | {("side", 4, "n3")}
+
+
 def test_outcome_counts(spark):
     log = spark.createDataFrame([(1, 1, "indexed", 5), (1, 1, "indexed", 5), (2, 1, "failed", None), (3, 1, "indexed", 2)], "log_id bigint, run_no int, status string, n_bytes bigint")
     assert {tuple(r) for r in C.outcome_counts(log).collect()} == {(1, "indexed", 2, 7), (1, "failed", 1, None)}
