@@ -3,7 +3,8 @@
 Around every gap between sentences or lines two blocks of words are compared by the cosine of their word counts. Where
 the similarity falls into a valley the topic changes; the depth of the valley is how far the similarity rises again on
 both sides. A piece ends, within the part of its size window where pieces are not needlessly small, at the gap of
-highest kind (between paragraphs, then sentences, then words) and of these in the deepest valley. The next piece begins about OVERLAP characters before,
+highest kind (between paragraphs, then sentences) and of these in the deepest valley; if that part has none, so in the
+rest of the window after the overlap; only if that has none either, between words. The next piece begins about OVERLAP characters before,
 at a word. Only an unbroken run of RUN letters or digits may be cut.
 """
 
@@ -87,8 +88,8 @@ def split(text: str | None, size: int = SIZE, overlap: int = OVERLAP) -> list[tu
     out, start = [], 0
     while len(text) - start > size:
         low, high, cut = start + size * 2 // 3, start + size, None
-        for kind in (lines, ends):
-            within = kind[bisect_left(kind, low) : bisect_left(kind, high + 1)]
+        for first, kind in ((low, lines), (low, ends), (start + overlap + 1, lines), (start + overlap + 1, ends)):
+            within = kind[bisect_left(kind, first) : bisect_left(kind, high + 1)]
             if within:
                 cut = max(within, key=lambda g: (depth[g], g))
                 break

@@ -95,6 +95,14 @@ def test_pieces_keep_the_rules():
         segments.split("x", 10, 9)
 
 
+def test_pieces_end_before_a_long_line():
+    text = "A short line stands here\n" * 20 + "word " * 300
+    first = segments.split(text)[0]
+    assert text[first[1] - 1] == "\n" and 150 < first[1] <= 500
+    short = "Here is one. " * 30 + "word " * 300
+    assert short[: segments.split(short)[0][1]].endswith("one.")
+
+
 def test_valleys_lie_between_topics():
     cats, dogs = "The cat purrs at the cat bowl. ", "A dog barks near that dog house. "
     text = cats * 12 + dogs * 12
