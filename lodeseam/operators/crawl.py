@@ -41,12 +41,15 @@ class Crawl:
     root_id: str
 
 
-def crawl(spark: SparkSession, source: PageSource, root: str, old_pages: DataFrame, old_links: DataFrame, settings: Settings, now: datetime, on_level: Callable[[DataFrame], None] | None = None) -> Crawl:
+def crawl(spark: SparkSession, source: PageSource, root: str, old_pages: DataFrame, old_links: DataFrame, settings: Settings, now: datetime,
+          on_level: Callable[[DataFrame], None] | None = None, on_pages: Callable[[DataFrame], None] | None = None, on_unchanged: Callable[[DataFrame], None] | None = None) -> Crawl:
     """Reads the site under root. old_pages, old_links: what is stored of it, for conditional requests and unread pages.
 
     max_pages, which must be above 0, counts pages that were read; unchanged ones are free. Links found at max_depth
-    that were not seen before make the crawl truncated, as do pages left when max_pages is reached. on_level is called
-    with the outcomes (url, status, depth, parent_id) of each level as soon as it is read.
+    that were not seen before make the crawl truncated, as do pages left when max_pages is reached. As soon as a level is
+    read, on_level is called with its outcomes (url, status, depth, parent_id), on_pages with its pages and on_unchanged
+    with the addresses (url) of those that are unchanged. Requests are as far apart as the settings and robots.txt ask,
+    whichever is more, if the source can be paced.
     """
     if settings.max_pages < 1 or settings.max_depth < 0:
         raise ValueError("max_pages must be above 0 and max_depth not below")
@@ -56,6 +59,10 @@ def crawl(spark: SparkSession, source: PageSource, root: str, old_pages: DataFra
     if settings.respect_robots:
         asked = top.select(robots_url(F.col("url")).alias("url"), F.lit(None).cast("string").alias("etag"), F.lit(None).cast("string").alias("last_modified"))
         rules = stored(R.rule_table(source.fetch(asked).select(F.lit(domain).alias("host"), "body")), "rules")
+    delay = settings.crawl_delay
+    if rules is not None and (asks := R.delays(rules, settings.user_agent, settings.crawl_delay).first()):  # one host
+        delay = max(delay, asks["delay"])
+    source = source.paced(delay) if hasattr(source, "paced") else source
     known = ST.validators(old_pages.where(F.col("root_id") == root_id)).select(F.col("url").alias("_url"), "etag", "last_modified")
     frontier = top.select("url", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent_id"), F.array(F.lit(0)).alias("ord"))
     seen, outcomes, pages, links, left, truncated = [frontier.select("url")], [], [], [], settings.max_pages, False
@@ -82,8 +89,12 @@ def crawl(spark: SparkSession, source: PageSource, root: str, old_pages: DataFra
         if on_level:
             on_level(outcomes[-2].unionByName(outcomes[-1]))
         fetched = done.where("status = 'fetched'")
+        if on_unchanged:
+            on_unchanged(done.where("status = 'not_modified'").select("url"))
         name = F.when(F.col("x.title") != "", F.col("x.title")).otherwise(F.col("url"))
         pages.append(fetched.select("id", "url", name.alias("title"), F.col("x.text").alias("text"), F.lit(domain).alias("domain"), "depth", "parent_id", F.lit(root_id).alias("root_id"), F.lit(now).cast("timestamp_ntz").alias("crawled_at"), F.col("new_etag").alias("etag"), F.col("new_modified").alias("last_modified")))
+        if on_pages:
+            on_pages(pages[-1])
         new = fetched.select("id", "ord", F.col("url").alias("base"), F.posexplode("x.links").alias("position", "href")).select("id", "ord", "position", resolved(F.col("base"), F.col("href")).alias("target"))
         new = stored(new.where("target is not null").where(netloc(F.col("target")) == domain), "links")
         links.append(new.select(F.lit(root_id).alias("root_id"), F.col("id").alias("source_id"), F.col("target").alias("target_url"), "position"))
@@ -103,6 +114,12 @@ def crawl(spark: SparkSession, source: PageSource, root: str, old_pages: DataFra
     return Crawl(union(pages, ST.PAGES), union(outcomes, OUTCOME), union(links, ST.LINKS), truncated, root_id)
 
 
+def pages_of(spark: SparkSession, source: PageSource, root: str, settings: Settings, now: datetime) -> DataFrame:
+    """The pages of a site alone, from a crawl that knows nothing of it."""
+    none = spark.createDataFrame([], ST.PAGES), spark.createDataFrame([], ST.LINKS)
+    return crawl(spark, source, root, *none, settings, now).pages
+
+
 def kept(result: Crawl, old_pages: DataFrame) -> DataFrame:
     """(root_id, url) that pruning must leave: what the crawl met in any way, and all stored pages under one that failed."""
     met = result.outcomes.select(F.lit(result.root_id).alias("root_id"), "url")
@@ -113,29 +130,33 @@ def kept(result: Crawl, old_pages: DataFrame) -> DataFrame:
     return met.unionByName(ours.join(under, "id").select("root_id", "url")).distinct()
 
 
-def indexed(result: Crawl, old: ST.Store, settings: Settings, now: datetime) -> dict[str, int]:
+def indexed(result: Crawl, old: ST.Store, settings: Settings, now: datetime, prune: bool | None = None, on_pruned: Callable[[DataFrame], None] | None = None) -> dict[str, int]:
     """Takes a crawl into the store in one commit: new pages with their chunks, unchanged ones touched, missing ones pruned.
 
-    Nothing is pruned after a truncated crawl or where the root failed. Counts of what was done.
+    Nothing is pruned after a truncated crawl or where the root failed. prune, if given, takes the place of the setting.
+    on_pruned is called with the pruned pages (id, url). Only buckets with a page that was met or goes are written. Counts of what was done.
     """
-    pages, chunks, links = old.pages, old.chunks, old.links
+    base = old.version()
+    ours = stored(old.read("pages", version=base).where(F.col("root_id") == result.root_id), "ours")
     new = stored(result.pages, "new")
-    same = result.outcomes.where("status = 'unchanged'").select(F.lit(result.root_id).alias("root_id"), "url", F.col("depth").alias("_depth"), F.col("parent_id").alias("_parent"))
-    after = ST.touched(pages, same, F.lit(now).cast("timestamp_ntz")).join(same, ["root_id", "url"], "left")
+    met = result.outcomes.where("status = 'unchanged'").select(F.lit(result.root_id).alias("root_id"), "url", F.col("depth").alias("_depth"), F.col("parent_id").alias("_parent"))
+    gone = new.select("id", "url").where("false")
+    if (settings.prune_missing if prune is None else prune) and not result.truncated:
+        gone = stored(ST.stale(ours, kept(result, ours)).join(new.select("id"), "id", "left_anti").select("id", "url"), "stale")
+    same = ours.join(met, ["root_id", "url"], "left_semi").select("id")
+    hit = old.buckets_of(new.select("id").unionByName(same).unionByName(gone.select("id")))
+    pages, chunks, links = (old.read(kind, hit, base) for kind in ("pages", "chunks", "links"))
+    after = ST.touched(pages, met, F.lit(now).cast("timestamp_ntz")).join(met, ["root_id", "url"], "left")
     after = after.withColumn("depth", F.coalesce("_depth", "depth")).withColumn("parent_id", F.when(F.col("_depth").isNotNull(), F.col("_parent")).otherwise(F.col("parent_id"))).select(*pages.columns)
-    after = ST.upserted(after, new)
-    parts = ST.replaced(chunks, new, settings.chunk_size, settings.chunk_overlap, embedder(settings.embedder, settings.embedding_dimensions))
-    edges = links.join(new.select(F.col("id").alias("source_id")), "source_id", "left_anti").select(*links.columns).unionByName(result.links)
-    pruned = 0
-    if settings.prune_missing and not result.truncated:
-        gone = stored(ST.stale(stored(after, "after"), kept(result, pages)).select("id"), "stale")
-        pruned = gone.count()
-        after, parts = ST.without(after, parts, gone)
-        edges = edges.join(gone.select(F.col("id").alias("source_id")), "source_id", "left_anti").select(*links.columns)
+    fresh = stored(ST.made(new, settings.chunk_size, settings.chunk_overlap, embedder(settings.embedder, settings.embedding_dimensions)), "chunks")
+    left = new.select("id").unionByName(gone.select("id")).select(F.col("id").alias("_id"))
+    rest = lambda df, key: df.join(left, F.col(key) == F.col("_id"), "left_anti").select(*df.columns)
+    if hit:
+        old.commit(rest(after, "id").unionByName(ST.upserted(new.where("false"), new)), rest(chunks, "page_id").unionByName(fresh), rest(links, "source_id").unionByName(result.links), hit, base)
+    if on_pruned:
+        on_pruned(gone)
     n = {r["status"]: r["count"] for r in result.outcomes.groupBy("status").count().collect()}
-    made = stored(parts, "chunks")
-    old.commit(stored(after, "pages"), made, stored(edges, "links"))
-    return {"pages_crawled": n.get("indexed", 0), "pages_unchanged": n.get("unchanged", 0), "pages_failed": n.get("failed", 0), "chunks_indexed": made.join(new.select(F.col("id").alias("page_id")), "page_id", "left_semi").count(), "pages_pruned": pruned}
+    return {"pages_crawled": n.get("indexed", 0), "pages_unchanged": n.get("unchanged", 0), "pages_failed": n.get("failed", 0), "chunks_indexed": fresh.count(), "pages_pruned": gone.count()}
 
 
 def levels(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:

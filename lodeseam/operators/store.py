@@ -1,12 +1,17 @@
-"""Pages and chunks kept as snapshots in a folder, changed by one commit per crawl.
-
-A commit writes the next version of both tables and then a small file that names it; readers follow the newest such
-file, so a failed commit is never seen and chunks never lose their page. Where a catalog with row-level merge is
-at hand, the same changes can be merged; plain files need none.
+"""Pages, chunks and links in a folder, changed by one commit per crawl or batch.
+
+Each table is cut into buckets by a hash of the page's id, so a page, its chunks and its links lie in buckets of one
+number. A commit writes the buckets it touches and then a manifest that names, for every bucket of every table, the
+folder that holds it; readers follow the newest manifest. A failed commit is never seen, a table that is not given stays
+as it is, and a manifest is put in place without replacing another, so of two commits at once one is refused. Folders
+that only manifests older than the last KEEP name are removed. Buckets should hold about a gigabyte: their number is
+set when a store is made.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +24,9 @@ from lodeseam.functions.text import chunk_id, chunks
 PAGES = "id string, url string, title string, text string, domain string, depth int, parent_id string, root_id string, crawled_at timestamp_ntz, etag string, last_modified string"
 CHUNKS = "id string, page_id string, seq int, text string, embedding array<float>"
 LINKS = "root_id string, source_id string, target_url string, position int"
+#: Schema of each table, and the column with the id of the page.
+TABLES = {"pages": (PAGES, "id"), "chunks": (CHUNKS, "page_id"), "links": (LINKS, "source_id")}
+BUCKETS, KEEP = 16, 2
 
 
 def migrated(df: DataFrame, schema: str) -> DataFrame:
@@ -40,11 +48,16 @@ def touched(pages: DataFrame, urls: DataFrame, now: Column) -> DataFrame:
     return hit.select(*[F.when(F.col("_t"), now).otherwise(F.col(c)).alias(c) if c == "crawled_at" else F.col(c) for c in pages.columns])
 
 
-def replaced(old_chunks: DataFrame, pages: DataFrame, size: int = 1200, overlap: int = 150, by: Embedder | None = None) -> DataFrame:
-    """Chunks with those of the given pages made anew and embedded; a page that has become empty loses its old ones."""
+def made(pages: DataFrame, size: int = 1200, overlap: int = 150, by: Embedder | None = None) -> DataFrame:
+    """Chunks of pages(id, text), embedded."""
     by = by or embedder()
     new = pages.select("id", F.posexplode(chunks(F.col("text"), size, overlap)).alias("seq", "text"))
-    new = new.select(chunk_id(F.col("id"), F.col("seq")).alias("id"), F.col("id").alias("page_id"), "seq", "text", by.column(F.col("text")).alias("embedding"))
+    return new.select(chunk_id(F.col("id"), F.col("seq")).alias("id"), F.col("id").alias("page_id"), "seq", "text", by.column(F.col("text")).alias("embedding"))
+
+
+def replaced(old_chunks: DataFrame, pages: DataFrame, size: int = 1200, overlap: int = 150, by: Embedder | None = None) -> DataFrame:
+    """Chunks with those of the given pages made anew and embedded; a page that has become empty loses its old ones."""
+    new = made(pages, size, overlap, by)
     return old_chunks.join(pages.select(F.col("id").alias("page_id")).distinct(), "page_id", "left_anti").select(*new.columns).unionByName(new)
 
 
@@ -75,8 +88,8 @@ def known_links(pages: DataFrame) -> DataFrame:
 class Store:
     """Versions of pages, chunks and links in a folder."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS):
+        self.spark, self.folder, self._buckets = spark, folder.rstrip("/"), buckets
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str) -> Store:
@@ -87,36 +100,75 @@ class Store:
         except Exception:  # noqa: BLE001 - any refusal of the file system
             return cls(spark, S.scratch(spark, "store"))
 
+    def versions(self) -> list[int]:
+        return sorted(int(n) for n in S.names(self.spark, f"{self.folder}/commits") if n.isdigit())
+
     def version(self) -> int:
-        return max([int(n) for n in S.names(self.spark, f"{self.folder}/commits") if n.isdigit()], default=0)
+        return max(self.versions(), default=0)
+
+    def _manifest(self, version: int) -> dict:
+        if not version:
+            return {"buckets": self._buckets, "tables": {}}
+        return json.loads(S.get_text(self.spark, f"{self.folder}/commits/{version}"))
 
-    def _read(self, kind: str, schema: str) -> DataFrame:
-        v = self.version()
-        path = f"{self.folder}/{kind}/{v}"
-        return migrated(self.spark.read.parquet(path), schema) if v and S.exists(self.spark, path) else self.spark.createDataFrame([], schema)
+    def bucket(self, page: Column, buckets: int | None = None) -> Column:
+        return F.pmod(F.xxhash64(page), F.lit(buckets or self._manifest(self.version())["buckets"])).cast("int")
+
+    def buckets_of(self, ids: DataFrame) -> list[int]:
+        """Buckets of the pages ids(id); no more than there are buckets."""
+        return sorted(r[0] for r in ids.select(self.bucket(F.col("id")).alias("b")).distinct().collect())
+
+    def read(self, kind: str, buckets: list[int] | None = None, version: int | None = None) -> DataFrame:
+        """The table of that kind, or its rows in the given buckets."""
+        there = self._manifest(self.version() if version is None else version)["tables"].get(kind, {})
+        paths = [f"{self.folder}/{kind}/{at}/_b={b}" for b, at in there.items() if buckets is None or int(b) in buckets]
+        schema = TABLES[kind][0]
+        return migrated(self.spark.read.parquet(*paths), schema) if paths else self.spark.createDataFrame([], schema)
 
     @property
     def pages(self) -> DataFrame:
-        return self._read("pages", PAGES)
+        return self.read("pages")
 
     @property
     def chunks(self) -> DataFrame:
-        return self._read("chunks", CHUNKS)
+        return self.read("chunks")
 
     @property
     def links(self) -> DataFrame:
-        return self._read("links", LINKS)
+        return self.read("links")
+
+    def commit(self, pages: DataFrame | None = None, chunks_: DataFrame | None = None, links: DataFrame | None = None, buckets: list[int] | None = None, base: int | None = None) -> int:
+        """Writes the next version; refuses if another commit came first.
 
-    def commit(self, pages: DataFrame, chunks_: DataFrame, links: DataFrame | None = None) -> int:
-        """Writes the next version; refuses if another commit came first."""
-        v = self.version()
+        Each table given replaces the touched buckets (all, if none are named) and holds rows of these only; one that is not given
+        keeps all its rows. base: the version that was read, if not the present one.
+        """
+        base = self.version() if base is None else base
+        manifest = self._manifest(base)
+        tables = {k: dict(v) for k, v in manifest["tables"].items()}
         for kind, df in (("pages", pages), ("chunks", chunks_), ("links", links)):
-            if df is not None:
-                df.write.mode("overwrite").parquet(f"{self.folder}/{kind}/{v + 1}")
-        if self.version() != v:
+            if df is None:
+                continue
+            at = f"{base + 1}-{uuid.uuid4().hex[:8]}"
+            df.withColumn("_b", self.bucket(F.col(TABLES[kind][1]), manifest["buckets"])).repartition("_b").write.partitionBy("_b").parquet(f"{self.folder}/{kind}/{at}")
+            written = {n.removeprefix("_b=") for n in S.names(self.spark, f"{self.folder}/{kind}/{at}") if n.startswith("_b=")}
+            if buckets is not None and not written <= {*map(str, buckets)}:
+                raise ValueError(f"{kind} has rows of buckets that are not named")
+            kept = {} if buckets is None else {b: x for b, x in tables.get(kind, {}).items() if int(b) not in buckets}
+            tables[kind] = kept | {b: at for b in written}
+        if not S.put_new(self.spark, f"{self.folder}/commits/{base + 1}", json.dumps({"buckets": manifest["buckets"], "tables": tables})):
             raise RuntimeError("another commit came first")
-        S.put_text(self.spark, f"{self.folder}/commits/{v + 1}", "")
-        return v + 1
+        self._forget()
+        return base + 1
+
+    def _forget(self) -> None:
+        """Removes what only manifests before the last KEEP name."""
+        versions = self.versions()
+        named = lambda vs: {(kind, at) for v in vs for kind, t in self._manifest(v)["tables"].items() for at in t.values()}
+        for kind, at in named(versions[:-KEEP]) - named(versions[-KEEP:]):
+            S.remove(self.spark, f"{self.folder}/{kind}/{at}")
+        for v in versions[:-KEEP]:
+            S.remove(self.spark, f"{self.folder}/commits/{v}")
 
     def counts(self) -> DataFrame:
         """(pages, chunks)."""

@@ -19,6 +19,7 @@ from lodeseam.operators.store import Store
 from lodeseam.serving import site
 from lodeseam.sources.pages import PageSource
 
+#: Version, names and schemas of the tool protocol (fixed values).
 PROTOCOL = "2024-11-05"
 _TEXT = {"type": "string"}
 TOOLS = [
@@ -33,11 +34,11 @@ class Service:
         self.spark, self.store, self.source, self.settings = spark, store, source, settings
         self.jobs = Jobs(self._crawl)
 
-    def _crawl(self, url: str, max_pages: int | None, max_depth: int | None) -> dict[str, int]:
+    def _crawl(self, url: str, max_pages: int | None, max_depth: int | None, prune: bool | None) -> dict[str, int]:
         own = {k: v for k, v in (("max_pages", max_pages), ("max_depth", max_depth)) if v is not None}
         settings, now = Settings(**(self.settings.__dict__ | own)), datetime.now()
         result = C.crawl(self.spark, self.source, url, self.store.pages, self.store.links, settings, now)
-        return C.indexed(result, self.store, settings, now)
+        return C.indexed(result, self.store, settings, now, prune)
 
     def search(self, query: str, top_k: int = 5) -> list[dict]:
         if not isinstance(top_k, int) or not 1 <= top_k <= 25:
@@ -63,12 +64,13 @@ class Service:
         elif name == "list_doc_pages":
             given = [{k: p[k] for k in ("page_id", "url", "title")} for p in self.list_pages()]
         elif name == "get_doc_page":
-            given = self.get_page(args["page_id"])
+            found = self.get_page(args["page_id"])
+            given = found and (found["text"] or "")
         else:
             given = None
         if given is None:
             return {"content": [{"type": "text", "text": f"unknown: {name} {args.get('page_id', '')}".strip()}], "isError": True}
-        return {"content": [{"type": "text", "text": json.dumps(given, indent=2)}]}
+        return {"content": [{"type": "text", "text": given if isinstance(given, str) else json.dumps(given, indent=2)}], "isError": False}
 
     def rpc(self, call: Any) -> Any:
         """Answer to one JSON-RPC call or a batch; None for notifications, which a batch leaves out."""
@@ -133,7 +135,7 @@ class Service:
         if at.path == "/fetch_url":
             try:
                 sync = parse_qs(at.query).get("sync", ["false"])[0].lower() in ("1", "true")
-                return 200, "application/json", json.dumps(self.jobs.submit(body["url"], body.get("max_pages"), body.get("max_depth"), sync))
+                return 200, "application/json", json.dumps(self.jobs.submit(body["url"], body.get("max_pages"), body.get("max_depth"), sync, body.get("prune")))
             except (KeyError, ValueError, TypeError) as e:
                 return 422, "application/json", json.dumps({"detail": str(e)})
         return 404, "application/json", '{"detail": "not found"}'

@@ -1,7 +1,8 @@
 """Sessions, and tables that cut lineage.
 
 Intermediate tables go to the folder in ``spark.checkpoint.dir``, which all executors share, so that a lost executor
-costs only the tasks it ran. Where the setting is missing (tests, single machines) a temporary folder is set once.
+costs only the tasks it ran. Where the setting is missing, a session on one machine (local[...]) takes a temporary
+folder; a cluster is refused, as its machines would each write to a folder of their own.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple[SparkSession, str]] = []
@@ -37,6 +39,8 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g")
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one where none is named."""
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not there and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not there:
         there = getattr(spark.sparkContext, "_lodeseam_dir", None) or tempfile.mkdtemp(prefix="lodeseam-")
         spark.sparkContext._lodeseam_dir = there
@@ -95,6 +99,23 @@ def put_text(spark: SparkSession, path: str, text: str) -> None:
         raise OSError(f"cannot write {path}")
 
 
+def put_new(spark: SparkSession, path: str, text: str) -> bool:
+    """A small file that appears whole, unless one of that name is there: then False. The file system decides between two at once."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    part = f"{path}.{uuid.uuid4().hex}.part"
+    put_text(spark, part, text)
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(jvm.org.apache.hadoop.fs.Path(path).toUri(), conf)
+    none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        files.rename(jvm.org.apache.hadoop.fs.Path(part), jvm.org.apache.hadoop.fs.Path(path), none)
+    except Py4JJavaError:
+        remove(spark, part)
+        if exists(spark, path):
+            return False
+        raise
+    return True
+
+
 def get_text(spark: SparkSession, path: str) -> str:
     fs, p = _fs(spark, path)
     stream = fs.open(p)

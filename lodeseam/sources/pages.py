@@ -7,6 +7,8 @@ executors, conditionally by default. A plain function of one URL becomes a sourc
 
 from __future__ import annotations
 
+import copy
+import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
@@ -16,6 +18,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeseam.config import Settings
+from lodeseam.functions.urls import netloc
+from lodeseam.sources.throttle import Throttle
+
 ANSWER = "url string, body string, new_etag string, new_modified string, status string"
 
 
@@ -54,52 +60,77 @@ def http_get(url: str, etag: str | None, modified: str | None, agent: str, timeo
         return url, None, None, None, "failed"
 
 
-class FunctionSource:
-    """A function url -> text, which fails by raising; validators are not used."""
+def _one_by_one(requests: DataFrame, get: Callable[[str, str | None, str | None], tuple], delay: float, free: float, sleep: Callable[[float], None]) -> DataFrame:
+    """Answers of get, delay seconds apart for a host and none before free; requests of a host share a task, so that they can wait for each other."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wait, first = Throttle(delay, sleep=sleep), True
+        for b in batches:
+            rows = []
+            for url, etag, modified in zip(b["url"], b["etag"], b["last_modified"], strict=True):
+                if first and free > time.time():
+                    sleep(free - time.time())
+                first = False
+                wait(url)
+                rows.append(get(url, etag, modified))
+            yield pd.DataFrame(rows, columns=["url", "body", "new_etag", "new_modified", "status"])
+
+    asked = requests.select("url", "etag", "last_modified")
+    return (asked.repartition(netloc(F.col("url"))) if delay > 0 else asked).mapInPandas(run, ANSWER)
 
-    supports_conditional = False
 
-    def __init__(self, get: Callable[[str], str]):
-        self.get = get
+class _Paced:
+    """A source that asks the pages one by one. The pages of a crawl come in batches: one begins delay after the last has ended."""
+
+    delay: float
+    sleep: Callable[[float], None]
+
+    def paced(self, delay: float):
+        """The same source with this delay."""
+        other = copy.copy(self)
+        other.delay = delay
+        return other
+
+    def _get(self) -> Callable[[str, str | None, str | None], tuple]:
+        raise NotImplementedError
 
     def fetch(self, requests: DataFrame) -> DataFrame:
-        get = self.get
+        free, self._asked = (time.time() + self.delay if getattr(self, "_asked", False) else 0.0), True
+        return _one_by_one(requests, self._get(), self.delay, free, self.sleep)
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                rows = []
-                for url in b["url"]:
-                    try:
-                        rows.append((url, get(url), None, None, "fetched"))
-                    except Exception:  # noqa: BLE001 - whatever it raises, the page failed
-                        rows.append((url, None, None, None, "failed"))
-                yield pd.DataFrame(rows, columns=["url", "body", "new_etag", "new_modified", "status"])
 
-        return requests.select("url").mapInPandas(run, ANSWER)
+class FunctionSource(_Paced):
+    """A function url -> text, which fails by raising; validators are not used. sleep: how it waits."""
 
+    supports_conditional = False
 
-class HttpSource:
-    """Conditional GET; requests of one host share a task, so that a delay between them can be kept."""
+    def __init__(self, get: Callable[[str], str], delay: float = 0.0, sleep: Callable[[float], None] = time.sleep):
+        self.get, self.delay, self.sleep = get, delay, sleep
 
-    supports_conditional = True
+    def _get(self) -> Callable[[str, str | None, str | None], tuple]:
+        get = self.get
 
-    def __init__(self, agent: str, timeout: float = 15.0, delay: float = 1.0):
-        self.agent, self.timeout, self.delay = agent, timeout, delay
+        def one(url: str, etag: str | None, modified: str | None) -> tuple:
+            try:
+                return url, get(url), None, None, "fetched"
+            except Exception:  # noqa: BLE001 - whatever it raises, the page failed
+                return url, None, None, None, "failed"
 
-    def fetch(self, requests: DataFrame) -> DataFrame:
-        agent, timeout, delay = self.agent, self.timeout, self.delay
+        return one
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            from lodeseam.sources.throttle import Throttle
 
-            wait = Throttle(delay)
-            for b in batches:
-                rows = []
-                for url, etag, modified in zip(b["url"], b["etag"], b["last_modified"], strict=True):
-                    wait(url)
-                    rows.append(http_get(url, etag, modified, agent, timeout))
-                yield pd.DataFrame(rows, columns=["url", "body", "new_etag", "new_modified", "status"])
+class HttpSource(_Paced):
+    """Conditional GET."""
+
+    supports_conditional = True
+
+    def __init__(self, agent: str, timeout: float = 15.0, delay: float = 1.0, sleep: Callable[[float], None] = time.sleep):
+        self.agent, self.timeout, self.delay, self.sleep = agent, timeout, delay, sleep
 
-        from lodeseam.functions.urls import netloc
+    @classmethod
+    def of(cls, settings: Settings) -> HttpSource:
+        return cls(settings.user_agent, settings.request_timeout, settings.crawl_delay)
 
-        return requests.repartition(netloc(F.col("url"))).select("url", "etag", "last_modified").mapInPandas(run, ANSWER)
+    def _get(self) -> Callable[[str, str | None, str | None], tuple]:
+        agent, timeout = self.agent, self.timeout
+        return lambda url, etag, modified: http_get(url, etag, modified, agent, timeout)

@@ -8,26 +8,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lodeseam.config import Settings
+from lodeseam.functions.embed import embedder
 from lodeseam.operators import store as ST
+from lodeseam.session import stored
 
 
-def ingest(pages: DataFrame, store: ST.Store, checkpoint: str, on_batch: Callable[[int, int], None] | None = None) -> StreamingQuery:
+def ingest(pages: DataFrame, store: ST.Store, checkpoint: str, on_batch: Callable[[int, int], None] | None = None, settings: Settings = Settings()) -> StreamingQuery:
     """Upserts a stream of page rows into the store, chunks included, one commit per micro-batch; ends when all is read.
 
-    A batch that is delivered again after a failure changes nothing: rows replace those with their id, and chunk ids
-    are made from their place.
+    A batch that is delivered again after a failure changes nothing: a row must be newer than the stored one of its id to
+    replace it, and chunk ids are made from their place. Late rows do not win. Links of pages that are not replaced stay.
+    A replaced page loses its links, as a row does not say them, and with them its validators: else the next crawl would
+    be told that it is unchanged and could not go on to what it links to. Only the buckets of the batch's ids are written.
     """
+    by = embedder(settings.embedder, settings.embedding_dimensions)
 
     def take(batch: DataFrame, number: int) -> None:
         rows = ST.migrated(batch, ST.PAGES).where("id is not null")
         batch.persist()
         try:
-            old, parts = store.pages, store.chunks
-            both = old.unionByName(rows)
-            # late rows must not win over newer ones that are stored already
-            best = both.groupBy("id").agg(F.max_by(F.struct(*[c for c in both.columns if c != "id"]), F.struct("crawled_at", "url")).alias("r")).select("id", "r.*").select(*old.columns)
-            changed = rows.select("id").distinct()
-            store.commit(best, ST.replaced(parts, best.join(changed, "id", "left_semi")))
+            base, hit = store.version(), store.buckets_of(rows.select("id"))
+            if hit:
+                old, parts, links = (store.read(kind, hit, base) for kind in ("pages", "chunks", "links"))
+                both = old.withColumn("_old", F.lit(1)).unionByName(rows.withColumn("_old", F.lit(0)))
+                best = both.groupBy("id").agg(F.max_by(F.struct(*[c for c in both.columns if c != "id"]), F.struct("crawled_at", "_old", "url")).alias("r")).select("id", "r.*")
+                best = stored(best, "best")
+                changed = best.where("_old = 0").select(*[F.lit(None).cast("string").alias(c) if c in ("etag", "last_modified") else F.col(c) for c in old.columns])
+                ids = changed.select(F.col("id").alias("_id"))
+                after = best.where("_old = 1").select(*old.columns).unionByName(changed)
+                edges = links.join(ids, F.col("source_id") == F.col("_id"), "left_anti").select(*links.columns)
+                store.commit(after, ST.replaced(parts, changed, settings.chunk_size, settings.chunk_overlap, by), edges, hit, base)
             if on_batch:
                 on_batch(number, batch.count())
         finally:

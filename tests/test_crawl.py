@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import time
 import urllib.request
 from threading import Thread
 
@@ -35,7 +36,7 @@ NOW = dt.datetime(2024, 1, 1)
 
 
 def run(spark, store, src, **given):
-    s = Settings(**({"respect_robots": False} | given))
+    s = Settings(**({"respect_robots": False, "crawl_delay": 0.0} | given))
     result = C.crawl(spark, src, ROOT + "/", store.pages, store.links, s, NOW)
     return result, C.indexed(result, store, s, NOW)
 
@@ -50,8 +51,9 @@ def test_first_crawl(spark, tmp_path):
     assert {(r.depth, r.url.removeprefix(ROOT)) for r in sites.subtree(store.pages).join(store.pages.select("id", "url"), "id").collect()} == {(0, ""), (1, "/install"), (1, "/api"), (2, "/install/docker")}
     assert {len(r.embedding) for r in store.chunks.collect()} == {256}
     met = []
-    C.crawl(spark, source(spark, SITE), ROOT, store.pages, store.links, Settings(respect_robots=False), NOW, lambda level: met.append(level.count()))
-    assert met == [1, 2, 1]
+    shown = []
+    C.crawl(spark, source(spark, SITE), ROOT, store.pages, store.links, Settings(respect_robots=False, crawl_delay=0.0), NOW, lambda level: met.append(level.count()), lambda pages: shown.extend(r.title for r in pages.collect()))
+    assert met == [1, 2, 1] and sorted(shown) == ["Api", "Docker", "Install", "Root"]
     again, m = run(spark, store, source(spark, SITE))
     assert m["pages_crawled"] == 4 and store.counts().first() == (4, 4)
 
@@ -110,6 +112,13 @@ def test_migration_and_empty_store(spark, tmp_path):
     new = ST.migrated(spark.createDataFrame([("a", "new", NOW), ("a", "newer", NOW + dt.timedelta(1)), ("b", "x", NOW)], "id string, url string, crawled_at timestamp_ntz"), ST.PAGES)
     assert {(r.id, r.url) for r in ST.upserted(old, new).collect()} == {("a", "newer"), ("b", "x")}
     store.commit(new, store.chunks)
+    base = store.version()
+    store.commit(links=spark.createDataFrame([("r", "a", "u", 0)], ST.LINKS))
+    assert store.pages.count() == 3 and store.links.count() == 1  # a table that is not given keeps its rows
+    with pytest.raises(RuntimeError):
+        store.commit(new, base=base)  # another commit came first
+    with pytest.raises(ValueError):
+        store.commit(new, buckets=[])
     assert ST.Store.open(spark, "/proc/none/here").version() == 0
 
 
@@ -130,11 +139,57 @@ def test_stream(spark, tmp_path):
     assert store.version() == v
 
 
+def test_ingest_keeps_links_and_pages(spark, tmp_path):
+    """A batch of another site leaves links alone; a crawl without changes after it prunes nothing. A replaced page is read again."""
+    store, tags = ST.Store(spark, f"{tmp_path}/s"), {k: "1" for k in SITE}
+    run(spark, store, source(spark, SITE, tags))
+    run(spark, store, source(spark, SITE, tags))
+    before = store.links.count()
+    schema = "id string, url string, text string, root_id string, crawled_at timestamp_ntz, etag string"
+    spark.createDataFrame([("x", "http://else.example", "one", "x", NOW, "7")], schema).write.parquet(f"{tmp_path}/in/1")
+    stream = lambda: spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*")
+    ingest.ingest(stream(), store, f"{tmp_path}/ck").awaitTermination()
+    assert store.links.count() == before > 0 and store.pages.count() == 5
+    _, n = run(spark, store, source(spark, SITE, tags))
+    assert (n["pages_unchanged"], n["pages_pruned"]) == (4, 0) and store.counts().first() == (5, 5)
+    top = store.pages.where(F.col("url") == ROOT).first()
+    spark.createDataFrame([(top.id, ROOT, "new words", top.id, NOW + dt.timedelta(1), "1")], schema).write.parquet(f"{tmp_path}/in/2")
+    ingest.ingest(stream(), store, f"{tmp_path}/ck", settings=Settings(embedding_dimensions=8)).awaitTermination()
+    assert store.pages.where(F.col("url") == ROOT).first().etag is None and store.links.where(F.col("source_id") == top.id).count() == 0
+    assert {len(r.embedding) for r in store.chunks.where(F.col("page_id") == top.id).collect()} == {8}
+    _, n = run(spark, store, source(spark, SITE, tags))
+    assert (n["pages_crawled"], n["pages_unchanged"], n["pages_pruned"]) == (1, 3, 0) and store.links.count() == before
+
+
+def test_old_versions_go(spark, tmp_path):
+    store = ST.Store(spark, f"{tmp_path}/s", buckets=4)
+    rows = lambda n: ST.migrated(spark.createDataFrame([(f"p{i}", f"u{n}") for i in range(40)], "id string, url string"), ST.PAGES)
+    for n in range(5):
+        store.commit(rows(n))
+    one = store.buckets_of(rows(0).where("id = 'p1'"))
+    store.commit(store.read("pages", one).withColumn("url", F.lit("own")), buckets=one)
+    assert len(store.versions()) == ST.KEEP and len(list((tmp_path / "s" / "pages").iterdir())) == 2
+    assert {r.url for r in store.pages.collect()} == {"own", "u4"} and store.pages.count() == 40
+
+
+def test_delay_of_robots(spark):
+    """The site's delay counts if it is more than the configured one; waits hold between batches too."""
+    for asked, given, want in ((0.3, 0.1, 0.3), (0.1, 0.4, 0.4)):
+        site = {ROOT + k: v for k, v in SITE.items()} | {ROOT + "/robots.txt": f"User-agent: *\nCrawl-delay: {asked}\n"}
+        began = time.time()
+        pages = C.pages_of(spark, FunctionSource(lambda url, site=site: (time.time(), site[url])[1]), ROOT, Settings(crawl_delay=given), NOW)
+        assert pages.count() == 4 and time.time() - began >= 3 * want
+    paced = FunctionSource(lambda url: url, sleep=time.sleep).paced(0.2)
+    asked = spark.createDataFrame([(ROOT + "/a", None, None), (ROOT + "/b", None, None)], "url string, etag string, last_modified string")
+    began = time.time()
+    assert paced.fetch(asked).count() == 2 and time.time() - began >= 0.2
+
+
 def test_service(spark, tmp_path):
-    sv = SV.Service(spark, ST.Store(spark, f"{tmp_path}/s"), source(spark, SITE), Settings(respect_robots=False))
+    sv = SV.Service(spark, ST.Store(spark, f"{tmp_path}/s"), source(spark, SITE), Settings(respect_robots=False, crawl_delay=0.0))
     assert sv.get("/search_docs?query=x")[2] == "[]"
     status, _, body = sv.post("/fetch_url?sync=true", {"url": ROOT})
-    job = json.loads(sv.get("/job_progress?job_id=" + json.loads(body)["id"])[2])
+    job = json.loads(sv.get("/job_progress?job_id=" + json.loads(body)["job_id"])[2])
     assert status == 200 and job["status"] == "completed" and job["pages_crawled"] == 4 and job["error"] is None
     assert sv.get("/job_progress?job_id=none")[0] == 404 and len(json.loads(sv.get("/job_progress")[2])) == 1
     hits = json.loads(sv.get("/search_docs?query=needle&top_k=2")[2])
@@ -152,7 +207,14 @@ def test_service(spark, tmp_path):
     assert len(sv.rpc(call("tools/list"))["result"]["tools"]) == 3 and sv.rpc(call("what"))["error"]["code"] == -32601
     assert sv.rpc(call("tools/call", name="search_docs", arguments={}))["error"]["code"] == -32602
     assert sv.rpc(call("tools/call", name="none"))["result"]["isError"] and sv.rpc(call("tools/call", name="get_doc_page", arguments={"page_id": "x"}))["result"]["isError"]
-    assert len(json.loads(sv.rpc(call("tools/call", name="list_doc_pages"))["result"]["content"][0]["text"])) == 4
+    listed = sv.rpc(call("tools/call", name="list_doc_pages"))["result"]
+    assert listed["isError"] is False and len(json.loads(listed["content"][0]["text"])) == 4
+    assert sv.rpc(call("tools/call", name="get_doc_page", arguments={"page_id": ids["/api"]}))["result"] == {"content": [{"type": "text", "text": "Api\nother\nx"}], "isError": False}
+    sv.source = source(spark, {"": doc("Root")})
+    assert json.loads(sv.post("/fetch_url?sync=true", {"url": ROOT, "prune": False})[2])["pages_pruned"] == 0
+    assert json.loads(sv.post("/fetch_url?sync=true", {"url": ROOT})[2])["pages_pruned"] == 3
+    sv.source = source(spark, SITE)
+    sv.post("/fetch_url?sync=true", {"url": ROOT})
     assert sv.post("/mcp", {"method": "ping", "id": None})[0] == 202 and sv.rpc([{"method": "ping"}, call("ping")]) == [{"jsonrpc": "2.0", "id": 1, "result": {}}]
     server = SV.serve(sv, port=0)
     Thread(target=server.serve_forever, daemon=True).start()
