@@ -1,14 +1,17 @@
 """Most similar vectors by low-dimensional stable projections, kd-trees over them and a chi-square stopping test.
 
-Unit vectors are projected onto Gaussian directions. The squared projected distance of two vectors over m directions,
-divided by their squared distance, follows a chi-square law with m degrees of freedom; so what lies far in projection
-can be given up at a known risk.
-
-pairs() finds all pairs above a cosine. TREES kd-trees, whose split points are fitted on a bounded sample, cut the
-projected space into cells. A vector lives in its own cell of each tree and visits other cells in order of their
-projected distance until that exceeds RADIUS; within a cell a pair is kept if its projected distance over all directions
-passes the chi-square test at risk RISK, and kept pairs are verified with the vectors themselves. Equal vectors are one
-class first, so copies meet once; cells with many vectors are processed in blocks.
+Unit vectors are projected onto Gaussian directions. The projected difference of two vectors follows a normal law whose
+variance is their squared distance, whatever the data; over m directions its square, divided by the squared distance,
+follows a chi-square law with m degrees of freedom. So what lies far in projection can be given up at a known risk.
+
+pairs() finds all pairs above a cosine. To bring near vectors together on the cluster, a vector lives in the cell of the
+direction on which it is projected furthest, of as many as keep CELL vectors in one, and visits the cells of directions
+on which it is projected not much less. In a cell a kd-tree over projections is searched in order of projected distance; what is met
+there is a candidate if its projected distance over MORE directions passes the chi-square test at risk RISK, and
+candidates are verified with the vectors themselves. How far a vector must look, in cells and in the tree, to miss no more
+than MISS of the partners at exactly the given cosine, is found for the number of cells at hand: partners are drawn for
+sampled vectors by the law above, and the least distances at which enough of them are met are taken. So recall does not
+fall as the collection grows. Equal vectors are one class first; crowded cells are cut into blocks.
 
 nearest() finds the k most similar of all vectors for given queries: vectors and queries meet in a grid of blocks, each
 with its own kd-tree, whose leaves a query visits in order of projected distance until no better one is to be expected.
@@ -18,6 +21,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,16 +33,19 @@ from pyspark.sql import functions as F
 
 from lodeseam.session import stored
 
-TREES, LEVELS, CELL, RADIUS, RISK = 3, 8, 700, 0.1, 1e-4
-#: Directions that no tree uses; the test has them besides the trees' own.
-MORE = 12
-#: Rows on which the split points are fitted, and vectors of a cell that are compared at once.
-SAMPLE, BLOCK = 16_384, 4_096
+MISS, RISK = 0.001, 1e-4
+#: Vectors of a cell; cells at least, where there are more than FEW vectors of a length; vectors of a leaf of the kd-tree in a cell.
+CELL, CELLS, FEW, LEAF = 32_768, 16, 2_048, 256
+#: Directions of the chi-square test; the first of them are those of the kd-tree.
+MORE = 40
+#: Vectors that are sampled to fit the search, and pairs that are drawn. Every vector is indexed.
+SAMPLE, DRAWN = 16_384, 40_000
 #: Projected coordinates are sent as bytes: from -4 to 4.
 STEP = 127 / 4
 #: Classes of equal vectors up to this size are given out as all their pairs, larger ones as links to their first id.
 CLASS = 11
-SMALL = 200_000
+#: Bytes up to which a table is broadcast.
+BYTES = 4 << 20
 
 
 def chi2_at(p: float, m: int) -> float:
@@ -90,7 +98,7 @@ def split_points(points: np.ndarray, levels: int) -> np.ndarray:
 
 
 def visits(points: np.ndarray, splits: np.ndarray, levels: int, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, cell, home) of all cells within the squared projected distance, home for a row's own."""
+    """(row, leaf, home) of all leaves within the squared projected distance, home for a row's own."""
     row, node, cost = np.arange(len(points)), np.ones(len(points), np.int64), np.zeros(len(points), np.float32)
     for level in range(levels):
         gap = points[row, level] - splits[node]
@@ -103,91 +111,211 @@ def visits(points: np.ndarray, splits: np.ndarray, levels: int, radius: float) -
     return row, node - (1 << levels), cost == 0
 
 
-def _candidates(keys: tuple, cell: pa.Table, limit: float) -> pa.Table:
+def _leaf_cost(points: np.ndarray, others: np.ndarray, splits: np.ndarray, levels: int) -> np.ndarray:
+    """Squared projected distance from each point to the leaf of the other."""
+    node, cost = np.ones(len(points), np.int64), np.zeros(len(points))
+    for level in range(levels):
+        here, there = points[:, level] > splits[node], others[:, level] > splits[node]
+        cost += np.where(here != there, (points[:, level] - splits[node]) ** 2, 0)
+        node = 2 * node + there
+    return cost
+
+
+@lru_cache(64)
+def _cell_directions(dim: int, cells: int, table: int) -> np.ndarray:
+    g = directions(dim, cells, 100 + table)
+    return g / np.linalg.norm(g, axis=0)
+
+
+@dataclass
+class Search:
+    """How vectors of one length look for partners.
+
+    mean, spread: of the projections onto the directions of the cells, so that no cell is large for the place of all data alone.
+    reach: how much less a vector may be projected onto a direction than onto its own to visit the cell. blocks: into how many
+    blocks of homes and of visitors each cell is cut.
+    """
+
+    cells: int
+    tables: int
+    mean: np.ndarray
+    spread: np.ndarray
+    reach: float
+    levels: int
+    splits: np.ndarray
+    radius: float
+    blocks: np.ndarray
+
+    def cell_coordinates(self, x: np.ndarray, table: int) -> np.ndarray:
+        return (x @ _cell_directions(x.shape[1], self.cells, table) - self.mean[table]) / self.spread[table]
+
+
+#: For lengths of vectors that the sample has not met: one cell without tree, so nothing is missed. They are few.
+WHOLE = Search(1, 1, np.zeros((1, 1)), np.ones((1, 1)), 0.0, 0, np.zeros(1, np.float32), 0.0, np.ones((1, 1, 2), np.int64))
+
+
+def partners(x: np.ndarray, cosine: float, seed: int = 3) -> np.ndarray:
+    """For each unit vector one at exactly this cosine, in a random direction."""
+    if x.shape[1] < 2:
+        return x
+    w = np.random.default_rng(seed).standard_normal(x.shape).astype(np.float32)
+    w -= (w * x).sum(1, keepdims=True) * x
+    return cosine * x + math.sqrt(max(0.0, 1 - cosine * cosine)) * w / np.linalg.norm(w, axis=1, keepdims=True)
+
+
+def fitted(x: np.ndarray, n: int, cosine: float, cells: int | None = None, block: int = 2 * CELL) -> Search:
+    """The search for n vectors, of which x (unit length) is a sample. Of one and two tables of cells the one with fewer visits is taken."""
+    dim = x.shape[1]
+    cells = cells or (1 if n <= FEW else max(CELLS, 1 << math.ceil(math.log2(n / CELL))))
+    levels = max(0, min(12, MORE, math.ceil(math.log2(max(1, n / cells) / LEAF))))
+    a = x[np.arange(max(len(x), DRAWN)) % len(x)]
+    b = partners(a, cosine)
+    g = directions(dim, MORE)
+    splits = split_points(x @ g, levels)
+    least = None
+    for tables in (1, 2) if cells > 1 else (1,):
+        mean, square = np.zeros((tables, cells)), np.zeros((tables, cells))
+        for t in range(tables):
+            for at in range(0, len(x), 1024):
+                p = x[at : at + 1024] @ _cell_directions(dim, cells, t)
+                mean[t] += p.sum(0) / len(x)
+                square[t] += (p * p).sum(0) / len(x)
+        spread = np.sqrt(np.maximum(0, square - mean * mean)) + 1e-6
+        s = Search(cells, tables, mean.astype(np.float32), spread.astype(np.float32), 0.0, levels, splits, 0.0, np.ones((tables, cells, 2), np.int64))
+        there, back = np.empty((tables, len(a))), np.empty((tables, len(a)))
+        for t in range(tables):
+            for at in range(0, len(a), 1024):
+                p, q, i = s.cell_coordinates(a[at : at + 1024], t), s.cell_coordinates(b[at : at + 1024], t), np.arange(len(a[at : at + 1024]))
+                there[t, at : at + 1024] = p.max(1) - p[i, q.argmax(1)]
+                back[t, at : at + 1024] = q.max(1) - q[i, p.argmax(1)]
+        s.reach = float(np.quantile(np.minimum(there, back).min(0), 1 - MISS / 2)) + 1e-5
+        pa_, pb = a @ g, b @ g
+        one, two = _leaf_cost(pa_, pb, splits, levels), _leaf_cost(pb, pa_, splits, levels)
+        met = np.minimum(np.where((there <= s.reach).any(0), one, np.inf), np.where((back <= s.reach).any(0), two, np.inf))
+        s.radius = float(np.quantile(met, 1 - MISS, method="lower")) + 1e-4
+        all_ = np.zeros((tables, cells, 2))
+        for t in range(tables):
+            for at in range(0, len(x), 1024):
+                p = s.cell_coordinates(x[at : at + 1024], t)
+                all_[t, :, 0] += np.bincount(p.argmax(1), minlength=cells)
+                all_[t, :, 1] += (p.max(1)[:, None] - p <= s.reach).sum(0)
+        s.blocks = np.maximum(1, np.ceil(all_ * (n / len(x)) / [block, 16 * block])).astype(np.int64)
+        if least is None or all_[:, :, 1].sum() < least[0]:
+            least = all_[:, :, 1].sum(), s
+    return least[1]
+
+
+def placed(s: Search, x: np.ndarray, k: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, cell, home) of unit vectors x with keys k, where cell numbers tables, cells and blocks. A row that is home in a cut cell comes as
+    home to one block of homes, in each block of visitors, and as visitor to each block of homes."""
+    mixed = (k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
+    for t in range(s.tables):
+        p = s.cell_coordinates(x, t)
+        row, cell = np.nonzero(p.max(1)[:, None] - p <= s.reach)
+        home = cell == p.argmax(1)[row]
+        nx, ny = s.blocks[t, cell, 0], s.blocks[t, cell, 1]
+        whole = nx * ny == 1
+        number = (t * s.cells + cell).astype(np.int64) << 24
+        yield row[whole], number[whole], home[whole]
+        for i in np.flatnonzero(~whole):
+            h, m = int(mixed[row[i]]), int(nx[i])
+            if home[i]:
+                at = np.arange(ny[i]) * m + h % m
+                yield np.full(len(at), row[i]), number[i] + at, np.ones(len(at), bool)
+            at = h % int(ny[i]) * m + np.arange(m)
+            yield np.full(m, row[i]), number[i] + at, np.zeros(m, bool)
+
+
+def _candidates(s: Search, cell: pa.Table, limit: float) -> pa.Table:
     home, k = cell["home"].to_numpy(), cell["k"].to_numpy()
     x = np.frombuffer(b"".join(cell["p"].to_pylist()), np.int8).reshape(len(k), -1).astype(np.float32) / np.float32(STEP)
-    a, b = np.flatnonzero(home), np.arange(len(k))
     norm, found = (x * x).sum(1), []
-    for at in range(0, len(a), 1024):
-        own = a[at : at + 1024]
-        for to in range(0, len(b), 4096):
-            other = b[to : to + 4096]
-            d = norm[own][:, None] + norm[other][None, :] - 2 * (x[own] @ x[other].T)
-            i, j = np.nonzero(d <= limit)
-            ka, kb = k[own[i]], k[other[j]]
-            keep = ka != kb
-            found.append(np.stack([np.minimum(ka, kb)[keep], np.maximum(ka, kb)[keep]], 1))
+    row, leaf, own = visits(x, s.splits, s.levels, s.radius)
+    order = np.argsort(leaf, kind="stable")
+    row, own = row[order], (own & home[row])[order]
+    edge = np.searchsorted(leaf[order], np.arange((1 << s.levels) + 1))
+    for lo, hi in zip(edge, edge[1:], strict=False):
+        here, mine = row[lo:hi], row[lo:hi][own[lo:hi]]
+        for at in range(0, len(mine), 1024):
+            a = mine[at : at + 1024]
+            for to in range(0, len(here), 4096):
+                b = here[to : to + 4096]
+                i, j = np.nonzero(norm[a][:, None] + norm[b][None, :] - 2 * (x[a] @ x[b].T) <= limit)
+                ka, kb = k[a[i]], k[b[j]]
+                keep = ka != kb
+                found.append(np.stack([np.minimum(ka, kb)[keep], np.maximum(ka, kb)[keep]], 1))
     pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
     return pa.table({"ka": pairs[:, 0], "kb": pairs[:, 1]})
 
 
-def pairs(vectors: DataFrame, cosine: float = 0.9, block: int = BLOCK) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: the pairs of different ids whose vectors have the same length and at least this cosine.
+def _members(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, k, h) of each vector of an id, k and h naming its class of equal vectors, and (k, h, v) of the classes."""
+    rows = usable(vectors).select("id", "v", F.xxhash64("v").alias("k"), F.xxhash64(F.lit(1), "v").alias("h"))
+    return stored(rows.select("id", "k", "h").distinct(), "members"), stored(rows.groupBy("k", "h").agg(F.max("v").alias("v")), "classes")
+
 
-    vectors(id, embedding). Repeated rows count once; an id with several vectors has the one of the greatest hash. Vectors
-    without direction are in no pair. A class of over CLASS equal vectors gives links to its smallest id instead of all
-    its pairs, and only that id is paired with others. An empty table gives an empty result.
+def classes(vectors: DataFrame) -> DataFrame:
+    """(id, class_id, copies) of vectors(id, embedding) that have a direction: the smallest id with an equal vector, and how many ids have it.
+
+    With it the links that pairs() gives for large classes can be spread over all their members. An id with several
+    vectors has a row for each.
     """
-    spark = vectors.sparkSession
-    rows = usable(vectors).select("id", "v", F.xxhash64("v").alias("k"), F.xxhash64(F.lit(1), "v").alias("h"))
-    members = stored(rows.groupBy("id").agg(F.max(F.struct("k", "h")).alias("c")).select("id", "c.k", "c.h"), "members")
-    reps = stored(rows.groupBy("k", "h").agg(F.max("v").alias("v")), "classes")
+    rows = usable(vectors).select("id", F.xxhash64("v").alias("k"), F.xxhash64(F.lit(1), "v").alias("h")).distinct()
+    per = rows.groupBy("k", "h").agg(F.min("id").alias("class_id"), F.count("*").alias("copies"))
+    return rows.join(per, ["k", "h"]).select("id", "class_id", "copies")
+
+
+def pairs(vectors: DataFrame, cosine: float = 0.9, cells: int | None = None, block: int = 2 * CELL) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: the pairs of different ids that have vectors of the same length with at least this cosine.
+
+    vectors(id, embedding). Repeated rows count once; an id with several vectors takes part with each. Vectors without
+    direction are in no pair. A class of over CLASS equal vectors gives links to its smallest id instead of all its pairs,
+    and only that id is paired with others: classes() has the members. An empty table gives an empty result. cells: their number, if it is not to follow the
+    number of vectors.
+    """
+    members, reps = _members(vectors)
     n = reps.count()
-    levels, limit = max(LEVELS, min(24, math.ceil(math.log2(max(n, 1) / CELL)))), 2 - 2 * cosine
-    m = TREES * levels + MORE
     share = math.ceil(min(1.0, SAMPLE / max(n, 1)) * (1 << 30))  # hashes are uniform, so about SAMPLE rows reach the driver at any size
-    sample = [x[0] for x in reps.where(F.pmod("h", F.lit(1 << 30)) < share).select("v").collect()]
-    by_dim: dict[int, list] = {}
-    for v in sample:
-        by_dim.setdefault(len(v), []).append(v)
-    most = max(by_dim.values(), key=len, default=[[1.0]])
-    fitted = _units(np.array(most, np.float32)) @ directions(len(most[0]), m)
-    splits = [split_points(fitted[:, t * levels : (t + 1) * levels], levels) for t in range(TREES)]
+    sample: dict[int, list] = {}
+    for (v,) in reps.where(F.pmod("h", F.lit(1 << 30)) < share).select("v").collect():
+        sample.setdefault(len(v), []).append(v)
+    drawn = max(1, sum(map(len, sample.values())))
+    ways = {dim: fitted(_units(np.array(v, np.float32)), max(1, n * len(v) // drawn), cosine, cells, block) for dim, v in sample.items()}
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             k = b.column("k").to_numpy()
             for at, x in _matrices(b.column("v")):
-                dim, p = x.shape[1], x @ directions(x.shape[1], m)
-                small = np.clip(np.rint(p * STEP), -127, 127).astype(np.int8)
-                for t in range(TREES):
-                    row, leaf, home = visits(p[:, t * levels : (t + 1) * levels], splits[t], levels, RADIUS)
-                    sent = pa.FixedSizeBinaryArray.from_buffers(pa.binary(m), len(row), [None, pa.py_buffer(np.ascontiguousarray(small[row]).tobytes())]).cast(pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), dim, np.int32)), pa.array(np.full(len(row), t, np.int32)), pa.array(leaf), pa.array(home), pa.array(k[at][row]), sent], ["dim", "tree", "leaf", "home", "k", "p"])
-
-    placed = reps.select("k", "v").mapInArrow(place, "dim int, tree int, leaf bigint, home boolean, k bigint, p binary")
-    # crowded cells are cut into blocks of homes and of visitors; each pair of blocks is one group
-    sizes = placed.groupBy("dim", "tree", "leaf").agg(F.sum(F.col("home").cast("int")).alias("homes"), F.count("*").alias("all"))
-    crowded = stored(sizes.where((F.col("homes") > block) | (F.col("all") > 8 * block)), "cells")
-    joined = placed.join(crowded, ["dim", "tree", "leaf"], "left")
-    nx, ny = (F.ceil(F.coalesce(F.col(c), F.lit(1)) / size).cast("int") for c, size in (("homes", block), ("all", 8 * block)))
-    own = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "k"), n).cast("int")
-    at = lambda x, y, home: F.struct(x.alias("x"), y.alias("y"), home.alias("home"))
-    every = lambda n: F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1)
-    as_home = F.when(F.col("home"), F.transform(every(ny), lambda y: at(own(nx, 2), y, F.lit(True)))).otherwise(F.array())
-    as_visitor = F.transform(every(nx), lambda x: at(x, own(ny, 3), F.lit(False)))
-    meets = F.when(F.col("homes").isNull(), F.array(at(F.lit(0), F.lit(0), F.col("home")))).otherwise(F.concat(as_home, as_visitor))
-    blocks = joined.select("dim", "tree", "leaf", "k", "p", F.inline(meets))
-    test = limit * chi2_at(1 - RISK, m)
-    found = blocks.groupBy("dim", "tree", "leaf", "x", "y").applyInArrow(lambda key, t: _candidates(key, t, test), "ka bigint, kb bigint")
+                dim = x.shape[1]
+                small = np.clip(np.rint(x @ directions(dim, MORE) * STEP), -127, 127).astype(np.int8)
+                got = list(placed(ways.get(dim, WHOLE), x, k[at]))
+                row, cell, home = (np.concatenate(c) for c in zip(*got, strict=True))
+                sent = pa.FixedSizeBinaryArray.from_buffers(pa.binary(MORE), len(row), [None, pa.py_buffer(np.ascontiguousarray(small[row]).tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), dim, np.int32)), pa.array(cell), pa.array(home), pa.array(k[at][row]), sent], ["dim", "cell", "home", "k", "p"])
+
+    limit = 2 - 2 * cosine
+    test = limit * chi2_at(1 - RISK, MORE)
+    cut = reps.select("k", "v").mapInArrow(place, "dim int, cell bigint, home boolean, k bigint, p binary")
+    found = cut.groupBy("dim", "cell").applyInArrow(lambda key, t: _candidates(ways.get(key[0].as_py(), WHOLE), t, test), "ka bigint, kb bigint")
     found = stored(found.distinct(), "candidates")
-    few = found.count() <= SMALL  # 16 bytes a row; beyond it the joins shuffle
-    hint = F.broadcast if few else lambda x: x
+    few = found.count() * 16 <= BYTES
     a = reps.select(F.col("k").alias("ka"), F.col("h").alias("ha"), F.col("v").alias("va"))
     b = reps.select(F.col("k").alias("kb"), F.col("h").alias("hb"), F.col("v").alias("vb"))
-    half = stored(a.join(hint(found), "ka"), "half")
-    both = b.join(hint(half) if few and half.count() <= SMALL // 10 else half, "kb")
+    half = stored(a.join(F.broadcast(found) if few else found, "ka"), "half")
+    size = half.agg(F.sum(F.size("va") * 4 + 48)).first()[0] or 0
+    both = b.join(F.broadcast(half) if size <= BYTES else half, "kb")
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, z: s + z)
     near = both.where((F.size("va") == F.size("vb")) & (dot("va", "vb") >= F.lit(cosine) * F.sqrt(dot("va", "va") * dot("vb", "vb")))).select("ka", "ha", "kb", "hb")
-    classes = members.groupBy("k", "h").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    shown = members.join(classes, ["k", "h"]).where((F.col("n") <= CLASS) | (F.col("id") == F.col("first")))
+    per = members.groupBy("k", "h").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    shown = members.join(per, ["k", "h"]).where((F.col("n") <= CLASS) | (F.col("id") == F.col("first")))
     left, right = shown.select(F.col("k").alias("ka"), F.col("h").alias("ha"), F.col("id").alias("i")), shown.select(F.col("k").alias("kb"), F.col("h").alias("hb"), F.col("id").alias("j"))
     across = near.join(left, ["ka", "ha"]).join(right, ["kb", "hb"]).select("i", "j")
-    many = members.join(classes.where("n > 1"), ["k", "h"])
+    many = members.join(per.where("n > 1"), ["k", "h"])
     inner = many.where(F.col("n") <= CLASS).select("k", "h", "id")
     copies = inner.select("k", "h", F.col("id").alias("i")).join(inner.select("k", "h", F.col("id").alias("j")), ["k", "h"]).where("i < j").select("i", "j")
     links = many.where((F.col("n") > CLASS) & (F.col("id") != F.col("first"))).select(F.col("first").alias("i"), F.col("id").alias("j"))
-    return across.unionByName(copies).unionByName(links).select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b"))
+    every = across.unionByName(copies).unionByName(links).where("i <> j")
+    return every.select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b")).distinct()
 
 
 class Tree:

@@ -63,6 +63,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.pairs(load(spark, d, "chunks"))
 
 
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    """(id, class_id, copies): classes of chunks with equal embeddings."""
+    return neighbours.classes(load(spark, d, "chunks"))
+
+
 def p5_nearest(spark: SparkSession, d: str) -> DataFrame:
     """(id, neighbour, cosine, place): the ten most similar chunks of each chunk whose id, read as a number, is divisible by 20."""
     chunks = load(spark, d, "chunks").select("id", "embedding")
@@ -121,7 +126,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.split(load(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_texts, p2_templates, p3_found, p3_chunks, p4_found, p4_ranking, p5_found, p5_nearest, p7_found, p7_texts, p8_ids, p9_found, p9_shares, p9_mix, p10_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_texts, p2_templates, p3_found, p3_chunks, p4_found, p4_ranking, p5_found, p5_classes, p5_nearest, p7_found, p7_texts, p8_ids, p9_found, p9_shares, p9_mix, p10_found)}
 
 _CURRENT = "cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY crawled_at DESC NULLS LAST, run_no DESC NULLS LAST) AS _rn FROM pages WHERE id IS NOT NULL) WHERE _rn = 1)"
 _SCORED = """m AS (SELECT upper(trim(method)) AS method, CASE WHEN lower(better) = 'low' THEN 1 ELSE -1 END AS sign FROM score_method),
@@ -145,6 +150,8 @@ def _inside(at: str) -> str:
 
 _LONGEST = "coalesce(list_max(list_filter(range(80, least(length(b), length(t)) + 1), lambda k: substring(b, length(b) - k + 1, k) = substring(t, 1, k))), 0)"
 _FINE = "not isnan(x) AND abs(x) < 'infinity'"
+_VECTORS = f"""v AS (SELECT DISTINCT id, CAST(embedding AS DOUBLE[]) AS v FROM chunks WHERE id IS NOT NULL AND len(embedding) > 0
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT ({_FINE}))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)"""
 
 SQL = {
     "p2_found": f"WITH {_LINES} SELECT id, CAST(line_no AS INTEGER) AS line_no FROM w JOIN k USING (d, w)",
@@ -155,9 +162,8 @@ SQL = {
         p AS (SELECT *, list_filter(range(1, length(w) - length(t) + 2), lambda i: substring(w, i, length(t)) = t) AS places FROM j)
         SELECT DISTINCT page_id, seq FROM p WHERE t IS NULL OR length(t) > 1200 OR len(places) = 0 OR (b IS NOT NULL AND {_LONGEST} NOT BETWEEN 80 AND 160)
         OR len(list_filter(places, lambda i: NOT {_inside('i')} AND NOT {_inside('(i + length(t))')})) = 0""",
-    "p5_found": f"""WITH v AS (SELECT DISTINCT id, CAST(embedding AS DOUBLE[]) AS v FROM chunks WHERE id IS NOT NULL AND len(embedding) > 0
-            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT ({_FINE}))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)
-        SELECT a.id AS id_a, b.id AS id_b FROM v a JOIN v b ON len(a.v) = len(b.v) AND a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.9""",
+    "p5_classes": f"WITH {_VECTORS} SELECT id, min(id) OVER (PARTITION BY v) AS class_id, count(*) OVER (PARTITION BY v) AS copies FROM v",
+    "p5_found": f"""WITH {_VECTORS} SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM v a JOIN v b ON len(a.v) = len(b.v) AND a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.9""",
     "p4_found": f"""WITH {_SCORED} SELECT query_id, chunk_id FROM (SELECT f.query_id, chunk_id, top_k, row_number() OVER (PARTITION BY f.query_id ORDER BY total DESC, chunk_id) AS p
         FROM f JOIN search_query q ON q.query_id = f.query_id) WHERE p <= top_k""",
     "p4_ranking": f"WITH {_SCORED} SELECT * FROM f",

@@ -167,15 +167,36 @@ def test_pairs_against_all(spark):
     x[400:410] = 3 * x[30:40]
     x[500:503] = x[50]
     rows = [(f"{i:04d}", [float(v) for v in y]) for i, y in enumerate(x)]
-    rows += [rows[7], ("n", None), ("e", []), ("z", [0.0] * 64), ("x", [float("nan")] * 64), ("s", rows[0][1][:48]), *[(f"copy{i:02d}", [1.0] * 64) for i in range(15)]]
+    rows += [rows[7], ("n", None), ("e", []), ("z", [0.0] * 64), ("x", [float("nan")] * 64), ("s", rows[0][1][:48]), ("two", rows[20][1]), ("two", rows[60][1]), *[(f"copy{i:02d}", [1.0] * 64) for i in range(15)]]
     df = spark.createDataFrame(rows, "id string, embedding array<float>").withColumn("v", F.lit(0))
     u = x.astype(np.float32).astype(float)
     u /= np.linalg.norm(u, axis=1, keepdims=True)
-    want = {(f"{i:04d}", f"{j:04d}") for i, j in zip(*np.nonzero(u @ u.T >= 0.9)) if i < j} | {("copy00", f"copy{i:02d}") for i in range(1, 15)}
-    for block in (neighbours.BLOCK, 3):
-        got = [tuple(r) for r in neighbours.pairs(df, block=block).collect()]
-        assert len(got) == len(set(got)) and set(got) <= want and len(got) >= 0.97 * len(want)
+    want = {(f"{i:04d}", f"{j:04d}") for i, j in zip(*np.nonzero(u @ u.T >= 0.9)) if i < j} | {("copy00", f"copy{i:02d}") for i in range(1, 15)} | {("0020", "two"), ("0060", "two"), ("0320", "two")}
+    for cells, block in ((None, neighbours.CELL), (8, 20)):
+        got = [tuple(r) for r in neighbours.pairs(df, cells=cells, block=block).collect()]
+        assert len(got) == len(set(got)) and set(got) <= want and len(got) >= 0.99 * len(want)
     assert neighbours.pairs(df.where("false")).collect() == []
+    members = {(r.id, r.class_id, r.copies) for r in neighbours.classes(df).collect()}
+    assert ("copy07", "copy00", 15) in members and ("0501", "0050", 4) in members and ("s", "s", 1) in members and ("z", "z", 1) not in members and len(members) == 600 + 1 + 2 + 15
+
+
+@pytest.mark.parametrize("cells,n", [(16, 200_000), (256, 8_000_000), (4096, 130_000_000)])
+def test_reach_holds_as_cells_grow(cells, n):
+    """Partners at the cosine itself are met however many cells there are, and the cells visited stay a small part of all."""
+    x = neighbours._units(np.random.default_rng(5).standard_normal((6000, 64)).astype(np.float32))
+    s = neighbours.fitted(x, n, 0.9, cells)
+    new = neighbours._units(np.random.default_rng(6).standard_normal((4000, 64)).astype(np.float32))
+    far = neighbours.directions(64, neighbours.MORE)
+    for cosine in (0.9, 0.92):
+        other, met = neighbours.partners(new, cosine, seed=8), np.zeros(len(new), bool)
+        for a, b in ((new, other), (other, new)):
+            inner = neighbours._leaf_cost(a @ far, b @ far, s.splits, s.levels) <= s.radius
+            for t in range(s.tables):
+                p, q = s.cell_coordinates(a, t), s.cell_coordinates(b, t)
+                met |= inner & (p.max(1) - p[np.arange(len(p)), q.argmax(1)] <= s.reach)
+        assert met.mean() >= 0.99
+    visited = sum(len(row) for row, _, _ in neighbours.placed(s, new, np.arange(len(new)))) / len(new)
+    assert visited <= 3 * cells**0.35
 
 
 def test_nearest_recall(spark):
