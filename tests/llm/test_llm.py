@@ -250,3 +250,23 @@ def test_sentences(spark):
         ["1. The disk is full.", "2) Dr. Brown left."],
         ["Heading", "The disk\r\nis full."],
     ]
+
+
+def test_sentences_without_marks(spark):
+    """Running text without any mark is cut by the words alone, in scripts with blanks and without; headings are not."""
+    base = ["The disk is full. Restart the server. Then check the log. The server is slow.", "Check the disk. The log is empty. Restart the disk. Then restart the server.", "Restarting the server\n\nThe log is full. Check the server.\n\nThe disk is full.", "台帳を停止します。鍵を確認します。複製は空です。", "複製を停止します。台帳は空です。鍵を圧縮します。"]
+    plain = ["the disk is full restart the server then check the log", "Restarting the server", "鍵を停止します複製を確認します台帳は空です"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(base * 40)] + [(1000 + i, t) for i, t in enumerate(plain)], "doc_id bigint, text string")
+    got = {}
+    for r in sentences.split(docs).where("doc_id >= 1000").orderBy("start_char").collect():
+        got.setdefault(r.doc_id - 1000, []).append(plain[r.doc_id - 1000][r.start_char : r.end_char])
+    assert got == {0: ["the disk is full", "restart the server", "then check the log"], 1: ["Restarting the server"], 2: ["鍵を停止します", "複製を確認します", "台帳は空です"]}
+
+
+def test_sentences_of_wide_stops_and_long_words(spark):
+    long = "x" * 5000 + "."
+    text = f"鍵は空です．台帳を確認します．鍵は空です．\n\n{long} Next one is here. It is last.\n\n{long}\n\nIt is here."
+    docs = spark.createDataFrame([(1, text)] * 20, "doc_id int, text string")
+    got = {text[r.start_char : r.end_char] for r in sentences.split(docs).collect()}
+    assert got == {"鍵は空です．", "台帳を確認します．", long, "Next one is here.", "It is last.", "It is here."}
+    assert sentences.split(docs.where("false")).collect() == []
