@@ -166,7 +166,7 @@ def partners(x: np.ndarray, cosine: float, seed: int = 3) -> np.ndarray:
 def fitted(x: np.ndarray, n: int, cosine: float, cells: int | None = None, block: int = 2 * CELL) -> Search:
     """The search for n vectors, of which x (unit length) is a sample. Of one and two tables of cells the one with fewer visits is taken."""
     dim = x.shape[1]
-    cells = cells or (1 if n <= FEW else max(CELLS, 1 << math.ceil(math.log2(n / CELL))))
+    cells = cells or (1 if n <= FEW else max(CELLS, 1 << math.ceil(math.log2(max(1, n / CELL)))))
     levels = max(0, min(12, MORE, math.ceil(math.log2(max(1, n / cells) / LEAF))))
     a = x[np.arange(max(len(x), DRAWN)) % len(x)]
     b = partners(a, cosine)
