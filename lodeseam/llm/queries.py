@@ -44,6 +44,12 @@ def p3_chunks(spark: SparkSession, d: str) -> DataFrame:
     return segments.pieces(_texts(spark, d))
 
 
+def p3_sound(spark: SparkSession, d: str) -> DataFrame:
+    """(page_id, several, chars, faults): what the pieces of p3_chunks hold of each text, and how many break a rule of p3_found."""
+    texts = stored(_texts(spark, d), "texts")
+    return segments.soundness(segments.pieces(texts), texts).select("page_id", (F.col("pieces") > 1).alias("several"), "chars", "faults")
+
+
 def _fused(spark: SparkSession, d: str) -> DataFrame:
     return fusion.fused(fusion.scores(load(spark, d, "search_result"), load(spark, d, "score_method")))
 
@@ -126,7 +132,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.split(load(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_texts, p2_templates, p3_found, p3_chunks, p4_found, p4_ranking, p5_found, p5_classes, p5_nearest, p7_found, p7_texts, p8_ids, p9_found, p9_shares, p9_mix, p10_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_texts, p2_templates, p3_found, p3_chunks, p3_sound, p4_found, p4_ranking, p5_found, p5_classes, p5_nearest, p7_found, p7_texts, p8_ids, p9_found, p9_shares, p9_mix, p10_found)}
 
 _CURRENT = "cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY crawled_at DESC NULLS LAST, run_no DESC NULLS LAST) AS _rn FROM pages WHERE id IS NOT NULL) WHERE _rn = 1)"
 _SCORED = """m AS (SELECT upper(trim(method)) AS method, CASE WHEN lower(better) = 'low' THEN 1 ELSE -1 END AS sign FROM score_method),
@@ -162,6 +168,7 @@ SQL = {
         p AS (SELECT *, list_filter(range(1, length(w) - length(t) + 2), lambda i: substring(w, i, length(t)) = t) AS places FROM j)
         SELECT DISTINCT page_id, seq FROM p WHERE t IS NULL OR length(t) > 1200 OR len(places) = 0 OR (b IS NOT NULL AND {_LONGEST} NOT BETWEEN 80 AND 160)
         OR len(list_filter(places, lambda i: NOT {_inside('i')} AND NOT {_inside('(i + length(t))')})) = 0""",
+    "p3_sound": f"WITH {_CURRENT} SELECT id AS page_id, length(text) > 1200 AS several, length(text) AS chars, 0 AS faults FROM cur WHERE text IS NOT NULL",
     "p5_classes": f"WITH {_VECTORS} SELECT id, min(id) OVER (PARTITION BY v) AS class_id, count(*) OVER (PARTITION BY v) AS copies FROM v",
     "p5_found": f"""WITH {_VECTORS} SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM v a JOIN v b ON len(a.v) = len(b.v) AND a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.9""",
     "p4_found": f"""WITH {_SCORED} SELECT query_id, chunk_id FROM (SELECT f.query_id, chunk_id, top_k, row_number() OVER (PARTITION BY f.query_id ORDER BY total DESC, chunk_id) AS p

@@ -2,10 +2,10 @@
 
 Around every gap between sentences or lines two blocks of words are compared by the cosine of their word counts. Where
 the similarity falls into a valley the topic changes; the depth of the valley is how far the similarity rises again on
-both sides. A piece ends, within the part of its size window where pieces are not needlessly small, at the gap of
-highest kind (between paragraphs, then sentences) and of these in the deepest valley; if that part has none, so in the
-rest of the window after the overlap; only if that has none either, between words. The next piece begins about OVERLAP characters before,
-at a word. Only an unbroken run of RUN letters or digits may be cut.
+both sides. A piece ends in the deepest valley among the gaps of its size window's second half, so that pieces are not
+needlessly small; if that half has no gap, in the deepest of the first half after the overlap; only if there is none either,
+between words. The next piece begins about OVERLAP characters before, at a word. Only an unbroken run of RUN letters or
+digits may be cut.
 """
 
 from __future__ import annotations
@@ -17,12 +17,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SIZE, OVERLAP, LEAST, MOST, RUN = 1200, 150, 80, 160, 40
-#: Words in a block beside a gap.
-BLOCK = 30
+#: Words in a block beside a gap, and what the end of a line counts besides its depth.
+BLOCK, LINE = 30, 0.05
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"[.!?…]+[\"'”’»)\]]*(?=\s)|[。！？…।؟]+[”’」』）)]*")
 
@@ -81,17 +80,16 @@ def split(text: str | None, size: int = SIZE, overlap: int = OVERLAP) -> list[tu
         raise ValueError("overlap must be under half the size")
     if len(text) <= size:
         return [(0, len(text))]
-    lines = [i + 1 for i, c in enumerate(text) if c == "\n"]
-    ends = sorted({m.end() for m in _SENTENCE.finditer(text)} - set(lines))
-    gaps = sorted({*lines, *ends})
-    depth = dict(zip(gaps, valleys(text, gaps), strict=True))
+    lines = {i + 1 for i, c in enumerate(text) if c == "\n"}
+    gaps = sorted(lines | {m.end() for m in _SENTENCE.finditer(text)})
+    depth = [d + LINE * (g in lines) for g, d in zip(gaps, valleys(text, gaps), strict=True)]
     out, start = [], 0
     while len(text) - start > size:
-        low, high, cut = start + size * 2 // 3, start + size, None
-        for first, kind in ((low, lines), (low, ends), (start + overlap + 1, lines), (start + overlap + 1, ends)):
-            within = kind[bisect_left(kind, first) : bisect_left(kind, high + 1)]
-            if within:
-                cut = max(within, key=lambda g: (depth[g], g))
+        low, high, cut = start + size // 2, start + size, None
+        for first, last in ((low, high), (start + overlap + 1, low - 1)):
+            i, j = bisect_left(gaps, first), bisect_left(gaps, last + 1)
+            if i < j:
+                cut = gaps[max(range(i, j), key=lambda k: (depth[k], k))]
                 break
         if cut is None:
             cut = next((i for i in range(high, low, -1) if text[i].isspace() or text[i - 1].isspace()), None) or next((i for i in range(high, low, -1) if not inside_word(text, i)), high)
@@ -123,20 +121,46 @@ def shared(before: str, piece: str) -> int:
     return 0
 
 
-def faulty(piece: str, before: str | None, text: str) -> bool:
-    """Whether a stored piece breaks a rule: size, verbatim part, cuts outside words, LEAST to MOST shared characters.
+def _fine(text: str, at: int, piece: str) -> bool:
+    return not inside_word(text, at) and not inside_word(text, at + len(piece))
+
+
+def place(piece: str, text: str, near: int = 0) -> int:
+    """Where the piece stands in the text and is well cut, first sought from near on; -1 if there is no such place."""
+    for first in (near, 0)[: 1 + (near > 0)]:
+        at = text.find(piece, first)
+        while at >= 0:
+            if _fine(text, at, piece):
+                return at
+            at = text.find(piece, at + 1) if piece else -1
+    return -1
+
+
+def faults(seqs: list[int], pieces_: list[str | None], text: str) -> set[int]:
+    """seqs of faulty pieces of a text: over size, no verbatim part, cut inside a word, or not LEAST to MOST characters shared with the piece before.
 
-    A piece that stands in the text more than once is well cut if it is at one of its places.
+    Pieces come in order. One that stands in the text more than once is well cut if it is at one of its places.
     """
-    if len(piece) > SIZE or (at := text.find(piece)) < 0:
-        return True
-    if before is not None and not LEAST <= shared(before, piece) <= MOST:
-        return True
-    while at >= 0:
-        if not inside_word(text, at) and not inside_word(text, at + len(piece)):
-            return False
-        at = text.find(piece, at + 1) if piece else -1
-    return True
+    out, near, before, now, last = set(), 0, None, None, None
+    for seq, piece in zip(seqs, pieces_, strict=True):
+        if seq != now:
+            before, now = last, seq
+        at = place(piece, text, near) if piece is not None and len(piece) <= SIZE else -1
+        if at < 0 or (before is not None and not LEAST <= shared(before, piece) <= MOST):
+            out.add(seq)
+        near, last = max(at, 0), piece or ""
+    return out
+
+
+def faulty(piece: str, before: str | None, text: str) -> bool:
+    """Whether a piece that follows another, if it does, breaks a rule."""
+    return bool(faults([0, 1], [before, piece], text) & {1} if before is not None else faults([1], [piece], text))
+
+
+def _by_page(rows: DataFrame) -> DataFrame:
+    """(page_id, seqs, pieces): each different (seq, text) of a page, in order, null texts first."""
+    rows = rows.where("page_id is not null and seq is not null").groupBy("page_id").agg(F.sort_array(F.collect_set(F.struct("seq", "text"))).alias("p"))
+    return rows.select("page_id", F.col("p.seq").alias("seqs"), F.col("p.text").alias("pieces"))
 
 
 def audit(stored: DataFrame, texts: DataFrame) -> DataFrame:
@@ -144,18 +168,31 @@ def audit(stored: DataFrame, texts: DataFrame) -> DataFrame:
 
     stored(page_id, seq, text), texts(page_id, text) with unique ids. Repeated rows count once. A null piece is no part
     of its page. Rows without page or seq are no pieces. If one seq has several texts, the pair is faulty if one of them
-    is; the next piece is held against the greatest of them. Pieces travel by page after repeats are removed, so a page
-    holds no more of them than its distinct pieces.
+    is; the next piece is held against the greatest of them. A page is one row with its text and its different pieces,
+    which are about as long together as the text.
     """
-    rows = stored.where("page_id is not null and seq is not null").select("page_id", "seq", "text").distinct()
-    earlier = W.partitionBy("page_id").orderBy("seq").rangeBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("before", F.max(F.struct("seq", F.coalesce("text", F.lit("")))).over(earlier).getField("col2"))
     own = texts.where("text is not null").select("page_id", F.col("text").alias("whole"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            bad = [not isinstance(p, str) or faulty(p, q if isinstance(q, str) else None, w) for p, q, w in zip(b["text"], b["before"], b["whole"], strict=True)]
-            yield b.loc[bad, ["page_id", "seq"]]
+            rows = [(i, s) for i, seqs, parts, whole in zip(b["page_id"], b["seqs"], b["pieces"], b["whole"], strict=True) for s in sorted(faults(list(seqs), list(parts), whole))]
+            yield pd.DataFrame(rows, columns=["page_id", "seq"])
+
+    return _by_page(stored).join(own, "page_id").mapInPandas(run, "page_id string, seq int")
+
 
-    found = rows.join(own, "page_id").mapInPandas(run, "page_id string, seq int")
-    return found.distinct()
+def soundness(made: DataFrame, texts: DataFrame) -> DataFrame:
+    """(page_id, pieces, chars, faults): for each page with a text, how many pieces it has, how many characters they
+    hold without what they share, and how many of them are faulty. Sound pieces hold as many as the text."""
+    own = texts.where("text is not null").select("page_id", F.col("text").alias("whole"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for i, seqs, parts, whole in zip(b["page_id"], b["seqs"], b["pieces"], b["whole"], strict=True):
+                seqs, parts = ([], []) if seqs is None else (list(seqs), list(parts))
+                twice = sum(shared(x, y) for x, y in zip(parts, parts[1:], strict=False))
+                rows.append((i, len(parts), sum(map(len, parts)) - twice, len(faults(seqs, parts, whole))))
+            yield pd.DataFrame(rows, columns=["page_id", "pieces", "chars", "faults"])
+
+    return own.join(_by_page(made), "page_id", "left").mapInPandas(run, "page_id string, pieces bigint, chars bigint, faults bigint")
