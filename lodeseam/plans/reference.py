@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodeseam.functions import text as T
 from lodeseam.functions import urls as U
+from lodeseam.functions.embed import embedder
 from lodeseam.operators import crawl as C
 from lodeseam.operators import search as S
 from lodeseam.operators import sites
@@ -75,7 +76,8 @@ def cosine_topk(spark, d):
 
 
 def hybrid_search(spark, d):
-    return S.hybrid(load(spark, d, "chunks"), load(spark, d, "search_query"), pages_of(spark, d, "url", "title")).select("query_id", "chunk_id", "page_url", "page_title", "score", "method", "place")
+    """The chunks' own vectors have 64 dimensions; queries are embedded to as many."""
+    return S.hybrid(load(spark, d, "chunks"), load(spark, d, "search_query"), pages_of(spark, d, "url", "title"), by=embedder("hashing", 64)).select("query_id", "chunk_id", "page_url", "page_title", "score", "method", "place")
 
 
 def chunk_documents(spark, d):
@@ -264,6 +266,7 @@ _DOWN = f"""RECURSIVE {_CUR}, down AS (SELECT id, id AS root_id, CAST(0 AS BIGIN
     UNION ALL SELECT c.id, d.root_id, d.depth + 1, d.path || '/' || c.id FROM down d JOIN cur c ON c.parent_id = d.id)"""
 _TOKENS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 _CH = "ch AS (SELECT id, max({'p': page_id, 's': seq, 't': text}) AS c FROM chunks WHERE id IS NOT NULL GROUP BY id)"
+_CH_E = "ch AS (SELECT id, max({'p': page_id, 's': seq, 't': text, 'e': embedding}) AS c FROM chunks WHERE id IS NOT NULL GROUP BY id)"
 
 
 def _bm25(source: str, key: str) -> str:
@@ -291,20 +294,19 @@ def _chunk_sql(source: str, key: str) -> str:
     out AS (SELECT {key}, {flush} AS o FROM f), each AS (SELECT {key}, unnest(range(len(o))) AS seq, unnest(o) AS text FROM out)"""
 
 
-_HYBRID = f"""WITH {_CUR}, {_CH}, c AS (SELECT id, c.p AS page_id, c.s AS seq, coalesce(regexp_extract_all(lower(c.t), '[a-z0-9]+'), []) AS t FROM ch),
+_HYBRID = f"""WITH {_CUR}, {_CH_E}, c AS (SELECT id, c.p AS page_id, c.s AS seq, coalesce(regexp_extract_all(lower(c.t), '[a-z0-9]+'), []) AS t, CAST(c.e AS DOUBLE[]) AS e FROM ch),
     q AS (SELECT query_id, top_k, coalesce(regexp_extract_all(lower(query_text), '[a-z0-9]+'), []) AS t FROM search_query WHERE top_k BETWEEN 1 AND 25),
     shape AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM c),
-    words AS (SELECT 'c' AS kind, id AS key, unnest(t) AS term FROM c UNION ALL SELECT 'q', CAST(query_id AS VARCHAR), unnest(t) FROM q),
-    h AS (SELECT term, sha1(term) AS x FROM (SELECT DISTINCT term FROM words)),
-    cells AS (SELECT kind, key, CAST('0x' || substring(x, 1, 8) AS BIGINT) % 256 AS b, sum(CASE WHEN CAST('0x' || substring(x, 10, 1) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END) AS s FROM words JOIN h USING (term) GROUP BY ALL),
-    norm AS (SELECT kind, key, sqrt(sum(s * s)) AS n FROM cells GROUP BY ALL),
-    unit AS (SELECT kind, key, b, s / n AS v FROM cells JOIN norm USING (kind, key) WHERE n > 0),
-    sem AS (SELECT a.key AS qk, b.key AS id, sum(a.v * b.v) AS s FROM unit a JOIN unit b USING (b) WHERE a.kind = 'q' AND b.kind = 'c' GROUP BY ALL),
+    h AS (SELECT query_id, sha1(term) AS x FROM (SELECT query_id, unnest(t) AS term FROM q)),
+    cells AS (SELECT query_id, CAST('0x' || substring(x, 1, 8) AS BIGINT) % 64 AS b, sum(CASE WHEN CAST('0x' || substring(x, 10, 1) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END) AS s FROM h GROUP BY ALL),
+    qv AS (SELECT query_id, list_transform(range(64), lambda i: coalesce(m[i], 0)) AS v FROM (SELECT query_id, map(list(b), list(CAST(s AS DOUBLE))) AS m FROM cells GROUP BY query_id)),
+    cv AS (SELECT id, e FROM c WHERE len(e) = 64 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+    sem AS (SELECT query_id, id, list_cosine_similarity(v, e) AS s FROM qv, cv WHERE len(list_filter(v, lambda x: x <> 0)) > 0),
     qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest(t) AS term FROM q) GROUP BY ALL),
     tf AS (SELECT id, len(any_value(t)) AS size, term, count(*) AS tf FROM (SELECT id, t, unnest(t) AS term FROM c) WHERE term IN (SELECT term FROM qt) GROUP BY id, term),
     df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
     kw AS (SELECT query_id, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * size / mean)) * qtf) AS k FROM tf JOIN qt USING (term) JOIN df USING (term), shape GROUP BY ALL),
-    al AS (SELECT q.query_id, q.top_k, c.id, c.page_id, c.seq, coalesce(s, 0) AS s, coalesce(k, 0) AS k FROM q CROSS JOIN c LEFT JOIN sem ON sem.qk = CAST(q.query_id AS VARCHAR) AND sem.id = c.id LEFT JOIN kw ON kw.query_id = q.query_id AND kw.id = c.id),
+    al AS (SELECT q.query_id, q.top_k, c.id, c.page_id, c.seq, coalesce(s, 0) AS s, coalesce(k, 0) AS k FROM q CROSS JOIN c LEFT JOIN sem ON sem.query_id = q.query_id AND sem.id = c.id LEFT JOIN kw ON kw.query_id = q.query_id AND kw.id = c.id),
     mm AS (SELECT query_id, min(s) AS s0, max(s) - min(s) AS s1, min(k) AS k0, max(k) - min(k) AS k1 FROM al GROUP BY query_id),
     r AS (SELECT al.*, round(0.6 * CASE WHEN s1 <= 1e-9 THEN 0 ELSE (s - s0) / s1 END + 0.4 * CASE WHEN k1 <= 1e-9 THEN 0 ELSE (k - k0) / k1 END, 4) AS score FROM al JOIN mm USING (query_id)),
     top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_id, seq, id) AS place FROM r)

@@ -12,11 +12,13 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from lodeseam.config import Settings
+from lodeseam.functions.embed import embedder
 from lodeseam.operators import crawl as C
 from lodeseam.operators.jobs import Jobs
 from lodeseam.operators.search import hybrid
 from lodeseam.operators.store import Store
 from lodeseam.serving import site
+from lodeseam.session import released
 from lodeseam.sources.pages import PageSource
 
 #: Version, names and schemas of the tool protocol (fixed values).
@@ -37,14 +39,16 @@ class Service:
     def _crawl(self, url: str, max_pages: int | None, max_depth: int | None, prune: bool | None) -> dict[str, int]:
         own = {k: v for k, v in (("max_pages", max_pages), ("max_depth", max_depth)) if v is not None}
         settings, now = Settings(**(self.settings.__dict__ | own)), datetime.now()
-        result = C.crawl(self.spark, self.source, url, self.store.pages, self.store.links, settings, now)
-        return C.indexed(result, self.store, settings, now, prune)
+        with released():
+            result = C.crawl(self.spark, self.source, url, self.store.pages, self.store.links, settings, now)
+            return C.indexed(result, self.store, settings, now, prune)
 
     def search(self, query: str, top_k: int = 5) -> list[dict]:
         if not isinstance(top_k, int) or not 1 <= top_k <= 25:
             raise ValueError("top_k must be 1 to 25")
         q = self.spark.createDataFrame([(0, query, top_k)], "query_id bigint, query_text string, top_k int")
-        rows = hybrid(self.store.chunks, q, self.store.pages, dimensions=self.settings.embedding_dimensions).orderBy("place").collect()
+        with released():
+            rows = hybrid(self.store.chunks, q, self.store.pages, by=embedder(self.settings.embedder, self.settings.embedding_dimensions)).orderBy("place").collect()
         return [{"url": r.page_url, "title": r.page_title, "score": r.score, "method": r.method, "text": r.text} for r in rows]
 
     def list_pages(self) -> list[dict]:
@@ -119,9 +123,11 @@ class Service:
             case ["map"]:
                 return html(site.index(self.store.pages))
             case ["map", "site", key]:
-                return html(site.site(self.store.pages, key))
+                with released():
+                    return html(site.site(self.store.pages, key))
             case ["map", "page", key]:
-                return html(site.page(self.store.pages, key))
+                with released():
+                    return html(site.page(self.store.pages, key))
             case ["map", "page", key, "raw"]:
                 found = self.get_page(key)
                 return (200, "text/plain", found["text"] or "") if found else html(None)

@@ -24,6 +24,7 @@ def index(pages: DataFrame) -> str:
 
 def site(pages: DataFrame, root: str) -> str | None:
     """The tree of a site, ordered by address within each page; None if there is no such root."""
+    pages = pages.where(F.col("root_id") == root)
     rows = sites.subtree(pages, root).join(pages.select("id", "url", "title", "parent_id"), "id").select("id", "url", "title", "parent_id", "depth").collect()
     under: dict = {}
     for r in sorted(rows, key=lambda r: (r["url"] or "", r["id"])):
@@ -46,9 +47,10 @@ def site(pages: DataFrame, root: str) -> str | None:
 
 def page(pages: DataFrame, page_id: str) -> str | None:
     """Breadcrumbs, beginning of the text, siblings and children of a page; None if it is missing."""
-    row = pages.where(F.col("id") == page_id).select("id", "url", "title", F.substring("text", 1, EXCERPT + 1).alias("text")).first()
+    row = pages.where(F.col("id") == page_id).select("id", "url", "title", "root_id", F.substring("text", 1, EXCERPT + 1).alias("text")).first()
     if row is None:
         return None
+    pages = pages.where(F.col("root_id").eqNullSafe(F.lit(row["root_id"])))  # the page's own tree
     names = {r["id"]: r for r in pages.where(F.col("url").isin(urls)).select("id", "url", "title").collect()} if (urls := [r["url"] for r in sites.breadcrumbs(pages).where(F.col("id") == page_id).orderBy("step").collect()]) else {}
     by_url = {r["url"]: r for r in names.values()}
     crumbs = " / ".join(_link("page", by_url[u]) for u in urls if u in by_url)

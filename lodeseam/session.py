@@ -9,14 +9,18 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple[SparkSession, str]] = []
+_scopes = threading.local()
 
 
 def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -50,10 +54,24 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, removed when the driver ends."""
     path = f"{shared_dir(spark)}/lodeseam/{name}-{uuid.uuid4().hex[:12]}"
-    _made.append((spark, path))
+    getattr(_scopes, "open", [_made])[-1].append((spark, path))
     return path
 
 
+@contextmanager
+def released() -> Iterator[None]:
+    """Within it, scratch paths of this thread are removed at the end: for work whose results are collected or written there."""
+    own: list[tuple[SparkSession, str]] = []
+    before = getattr(_scopes, "open", [_made])
+    _scopes.open = [*before, own]
+    try:
+        yield
+    finally:
+        _scopes.open = before
+        for spark, path in own:
+            remove(spark, path)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: a plan without history."""
     path = scratch(df.sparkSession, name)

@@ -266,6 +266,7 @@ def test_settings():
 
 def test_search(spark):
     chunks = spark.createDataFrame([("c1", "p1", 0, "alpha beta beta"), ("c2", "p1", 1, "gamma"), ("c3", "px", 0, "alpha"), ("c3", "px", 0, "alpha"), ("c4", "p2", 0, None), ("c5", "p2", 1, "")], "id string, page_id string, seq int, text string")
+    chunks = chunks.withColumn("embedding", embed.embedder().column(F.col("text")))
     pages = spark.createDataFrame([("p1", "u1", "t1"), ("p2", "u2", None)], "id string, url string, title string")
     queries = spark.createDataFrame([(1, "alpha", 2), (2, "", 1), (3, "beta", 99), (4, None, 1), (5, "zzz", 3)], "query_id bigint, query_text string, top_k int")
     got = search.hybrid(chunks, queries, pages).orderBy("query_id", "place").collect()
@@ -273,6 +274,18 @@ def test_search(spark):
     assert [(r.query_id, r.score, r.method) for r in got if r.query_id in (2, 4)] == [(2, 0.0, "semantic"), (4, 0.0, "semantic")]
     assert {r.query_id for r in got} == {1, 2, 4, 5}
     assert search.hybrid(chunks.where("false"), queries, pages).collect() == []
+    # stored vectors decide, whatever the text; those of another length count 0
+    own = spark.createDataFrame([("a", "p1", 0, "x", [0.0, 1.0]), ("b", "p1", 1, "x", [1.0, 0.0]), ("c", "p1", 2, "x", [1.0]), ("d", "p1", 3, "x", [float("nan"), 1.0])], "id string, page_id string, seq int, text string, embedding array<float>")
+
+    class Fixed:
+        dimensions = 2
+
+        def column(self, text):
+            return F.array(F.lit(1.0), F.lit(0.0)).cast("array<float>")
+
+    assert [(r.chunk_id, r.score, r.method) for r in search.hybrid(own, queries.where("query_id = 5"), pages, by=Fixed()).orderBy("place").collect()] == [("b", 0.6, "semantic"), ("a", 0.0, "semantic"), ("c", 0.0, "semantic")]
+    many = spark.createDataFrame([(i, f"alpha q{i}", 2) for i in range(300)], "query_id bigint, query_text string, top_k int")
+    assert sum(len(b) for b in search.blocks(many, 1000)) == 300 and len(list(search.blocks(many, 1000))) > 3
     k = search.bm25_topk(chunks.dropDuplicates(), "id", queries, 1).collect()
     assert {(r.query_id, r.id) for r in k} == {(1, "c3"), (3, "c1")}
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.1]), (3, [0.0, 0.0]), (4, None), (5, [1.0, 0.0, 0.0]), (6, [1.0, 0.0])], "id bigint, embedding array<float>")
