@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeseam.operators.hierarchy import resolve
+from lodeseam.operators.ranking import with_rank
 
 #: Most links a breadcrumb follows.
 HOPS = 50
@@ -16,9 +17,10 @@ def roots(pages: DataFrame) -> DataFrame:
 
 
 def children(pages: DataFrame, parent: str | None = None) -> DataFrame:
-    """(parent_id, id, url, title, place) in order of url; of one parent if given."""
+    """(parent_id, id, url, title, place): place in order of url among the children of a page, from 1; of one parent if given."""
     own = pages.where("parent_id is not null") if parent is None else pages.where(F.col("parent_id") == parent)
-    return own.select("parent_id", "id", "url", "title")
+    own = own.select("parent_id", "id", "url", "title")
+    return with_rank(own, ["parent_id"], F.struct("url", "id"), "place")
 
 
 def siblings(pages: DataFrame) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodeseam.config import Settings
 from lodeseam.functions import text as T
 from lodeseam.functions import urls as U
 from lodeseam.functions.embed import embedder
@@ -16,11 +20,12 @@ from lodeseam.session import folder, scratch, stored
 from lodeseam.sources import html as HT
 from lodeseam.sources import robots as R
 from lodeseam.sources import throttle as TH
+from lodeseam.sources.pages import TableSource
 from lodeseam.streaming import ingest as SI
 from lodeseam.tables import BLANKS, current_rows, load, strip
 
 _COLUMNS = ["url", "title", "text", "domain", "depth", "parent_id", "root_id", "crawled_at", "etag", "last_modified"]
-AGENT = "lodeseam/1.0"
+AGENT, NOW = "lodeseam/1.0", datetime(2024, 6, 1)
 
 
 def _key(c: str) -> Column:
@@ -136,13 +141,21 @@ def site_roots(spark, d):
 
 
 def site_children(spark, d):
-    return sites.children(pages_of(spark, d, "url", "title", "parent_id")).select("parent_id", "id", "url")
+    return sites.children(pages_of(spark, d, "url", "title", "parent_id")).select("parent_id", "id", "url", "place")
 
 
 def site_siblings(spark, d):
     return sites.siblings(pages_of(spark, d, "parent_id"))
 
 
+def page_siblings(spark, d):
+    """The siblings, in order, of the page of the smallest id that has any."""
+    p = stored(pages_of(spark, d, "url", "title", "parent_id"), "pages")
+    first = sites.siblings(p).where("sibling_count > 0").agg(F.min("id")).first()[0]
+    own = sites.siblings_of(p, first or "")
+    return own.select("id", "url", F.row_number().over(W.orderBy("url", "id")).alias("place"))  # the children of one page
+
+
 def breadcrumbs(spark, d):
     return sites.breadcrumbs(pages_of(spark, d, "url", "parent_id"))
 
@@ -210,6 +223,54 @@ def table_counts(spark, d):
     return ST.counts(load(spark, d, "pages"), load(spark, d, "chunks"))
 
 
+# crawls
+
+
+def _site(spark, d) -> tuple[str, DataFrame]:
+    """The address of the root of a tree of at least 10 pages, 2 to 5 links deep and all of one host, and its tree as (url, html, etag, top): top is the page right
+    below the root that a page lies under."""
+    p = stored(pages_of(spark, d, "url", "title", "text", "parent_id"), "pages")
+    tree = sites.subtree(p.select("id", "parent_id")).join(p.select("id", "url"), "id")
+    fit = (F.count("*") >= 10) & F.max("depth").between(2, 5) & (F.count_distinct(U.netloc(F.col("url"))) == 1) & (F.count_distinct(U.without_slash(F.col("url"))) == F.count("*")) & F.min(F.col("url").startswith("http"))
+    root = tree.groupBy("root_id").agg(fit.alias("fit")).where("fit").agg(F.min("root_id")).first()[0]
+    own = stored(tree.where(F.col("root_id") == root).select("id", F.element_at(F.concat(F.split("path", "/"), F.array(F.lit(""))), 2).alias("top")), "tree")
+    html = _html(p.join(own.select("id"), "id", "left_semi")).join(own, "id")
+    first = p.where(F.col("id") == root).select("url").first()
+    return first and first[0], stored(html.select("id", U.without_slash(F.col("url")).alias("url"), "html", F.md5("html").alias("etag"), "top"), "site")
+
+
+def crawl_outcomes(spark, d):
+    """(url, depth, status): a crawl, two links deep, of a site made from pages; no rows where no tree fits."""
+    root, site = _site(spark, d)
+    if root is None:
+        return spark.createDataFrame([], "url string, depth int, status string")
+    settings = Settings(max_pages=10**6, max_depth=2, respect_robots=False)
+    none = spark.createDataFrame([], ST.PAGES), spark.createDataFrame([], ST.LINKS)
+    return C.crawl(spark, TableSource(site.select("url", "html")), root, *none, settings, NOW).outcomes.select("url", "depth", "status")
+
+
+def crawl_runs(spark, d):
+    """(step, pages_crawled, pages_unchanged, pages_failed, pages_pruned): a first crawl of the site, one of the same, and
+    one after the root has lost its link to the first of its pages; with robots.txt that forbids nothing there. No rows where no tree fits."""
+    root, site = _site(spark, d)
+    schema = "step int, pages_crawled bigint, pages_unchanged bigint, pages_failed bigint, pages_pruned bigint"
+    if root is None:
+        return spark.createDataFrame([], schema)
+    settings, store = Settings(max_pages=10**6, max_depth=10**3), ST.Store(spark, scratch(spark, "store"), 4)
+    rules = spark.createDataFrame([(root,)], "u string").select(U.robots_url(F.col("u")).alias("url"), F.lit("User-agent: *\nDisallow: /none-of-these\n").alias("html"), F.lit("r").alias("etag"))
+    whole = site.select("url", "html", "etag").unionByName(rules)
+    lost = site.where("top <> ''").agg(F.min("top")).first()[0]
+    gone = site.where(F.col("id") == lost).select("url").first()[0]
+    link = F.concat(F.lit('<a href="'), T.escaped(F.lit(gone)), F.lit('#top"></a>'))
+    less = whole.withColumn("html", F.when(F.col("url") == U.without_slash(F.lit(root)), F.replace("html", link, F.lit(""))).otherwise(F.col("html"))).withColumn("etag", F.md5("html"))
+    rows = []
+    for step, table in enumerate((whole, whole, less)):
+        result = C.crawl(spark, TableSource(stored(table, "site")), root, store.pages, store.links, settings, NOW)
+        n = C.indexed(result, store, settings, NOW)
+        rows.append((step, *(n[k] for k in ("pages_crawled", "pages_unchanged", "pages_failed", "pages_pruned"))))
+    return spark.createDataFrame(rows, schema)
+
+
 # crawl logs and rules
 
 
@@ -236,10 +297,13 @@ def throttle_schedule(spark, d):
 
 
 def _robots(spark, d) -> DataFrame:
-    """Rules for every host of the log: one part of each site is closed, one page of it open."""
+    """Rules for every host of the log, which differ by the length of its name: one part of a site is closed, with one page of it open, and
+    every second host closes another part; hosts of one kind name the agent, which then does not heed the rules for all."""
     hosts = load(spark, d, "crawl_log").select(U.netloc(F.col("url")).alias("host")).distinct()
-    body = "User-agent: other\nDisallow: /\n\nUser-agent: *\nAllow: /manual/a\nDisallow: /manual # closed\nDisallow: /kb\nCrawl-delay: 2.5\n"
-    return R.rule_table(hosts.withColumn("body", F.lit(body)))
+    n = F.length("host")
+    common = F.concat(F.lit("User-agent: *\nAllow: /manual/a\nDisallow: /manual # closed\n"), F.when(n % 2 == 0, "Disallow: /kb\n").otherwise(""), F.lit("Crawl-delay: "), (n % 4).cast("string"), F.lit(".5\n"))
+    named = F.when(n % 5 == 0, "\nUser-agent: lodeseam\nDisallow: /guide\nCrawl-delay: 7\n").otherwise("")
+    return R.rule_table(hosts.withColumn("body", F.concat(F.lit("User-agent: other\nDisallow: /\n\n"), common, named)))
 
 
 def robots_allowed(spark, d):
@@ -254,8 +318,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         tokenize_documents, doc_term_freq, doc_freq, hash_embed, bm25_topk, bm25_documents, cosine_topk, hybrid_search, chunk_documents, chunk_pages, result_metadata, page_ids, url_parts, page_text, page_links,
-        site_roots, site_children, site_siblings, breadcrumbs, subtree, bfs_levels, bfs_all_levels, list_pages, upsert_pages, touch_pages, prune_candidates, chunks_without_page, validators, known_links, table_counts,
-        crawl_outcome_counts, stream_outcomes, throttle_schedule, robots_allowed, robots_delays,
+        site_roots, site_children, site_siblings, page_siblings, breadcrumbs, subtree, bfs_levels, bfs_all_levels, list_pages, upsert_pages, touch_pages, prune_candidates, chunks_without_page, validators, known_links, table_counts,
+        crawl_outcomes, crawl_runs, crawl_outcome_counts, stream_outcomes, throttle_schedule, robots_allowed, robots_delays,
     )
 }
 
@@ -316,6 +380,11 @@ _HYBRID = f"""WITH {_CUR}, {_CH_E}, c AS (SELECT id, c.p AS page_id, c.s AS seq,
 _HOST = "regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)"
 _PATH = "CASE WHEN regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^#]*)', 1) END"
 
+_SITE = f"""{_DOWN}, t AS (SELECT d.id, d.root_id, d.depth, coalesce(string_split(d.path, '/')[2], '') AS top, c.url FROM down d JOIN cur c ON c.id = d.id),
+    one AS (SELECT min(root_id) AS r FROM (SELECT root_id FROM t GROUP BY root_id HAVING count(*) >= 10 AND max(depth) BETWEEN 2 AND 5 AND count(DISTINCT lower({_HOST})) = 1
+        AND count(DISTINCT regexp_replace(url, '/+$', '')) = count(*) AND bool_and(starts_with(url, 'http')))),
+    tree AS (SELECT t.* FROM t JOIN one ON root_id = r)"""
+
 SQL = {
     "tokenize_documents": f"SELECT doc_id, CAST(len({_TOKENS}) AS INTEGER) AS n_tokens, array_to_string({_TOKENS}, ' ') AS tokens FROM documents WHERE text IS NOT NULL",
     "doc_term_freq": f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents) GROUP BY ALL",
@@ -339,7 +408,13 @@ SQL = {
         array_to_string(list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda x: trim(x, {_B})), lambda x: x <> ''), chr(10)) AS text FROM cur""",
     "page_links": f"WITH {_CUR} SELECT p.id, CAST(row_number() OVER (PARTITION BY p.id ORDER BY c.url) - 1 AS INTEGER) AS position, regexp_replace(c.url, '/+$', '') AS target FROM cur p JOIN cur c ON c.parent_id = p.id",
     "site_roots": f"WITH {_CUR} SELECT id, url, domain FROM cur WHERE parent_id IS NULL",
-    "site_children": f"WITH {_CUR} SELECT parent_id, id, url FROM cur WHERE parent_id IS NOT NULL",
+    "site_children": f"WITH {_CUR} SELECT parent_id, id, url, row_number() OVER (PARTITION BY parent_id ORDER BY url NULLS FIRST, id) AS place FROM cur WHERE parent_id IS NOT NULL",
+    "page_siblings": f"""WITH {_CUR}, s AS (SELECT id, url, parent_id, count(*) OVER (PARTITION BY parent_id) AS n FROM cur WHERE parent_id IS NOT NULL), one AS (SELECT id AS o, parent_id AS p FROM s WHERE n > 1 ORDER BY id LIMIT 1)
+        SELECT id, url, CAST(row_number() OVER (ORDER BY url NULLS FIRST, id) AS INTEGER) AS place FROM s JOIN one ON parent_id = p WHERE id <> o""",
+    "crawl_outcomes": f"WITH {_SITE} SELECT regexp_replace(url, '/+$', '') AS url, CAST(depth AS INTEGER) AS depth, 'indexed' AS status FROM tree WHERE depth <= 2",
+    "crawl_runs": f"""WITH {_SITE}, n AS (SELECT count(*) AS n, count(*) FILTER (top = (SELECT min(top) FROM tree WHERE top <> '')) AS lost FROM tree HAVING count(*) > 0)
+        SELECT CAST(0 AS INTEGER) AS step, n AS pages_crawled, CAST(0 AS BIGINT) AS pages_unchanged, CAST(0 AS BIGINT) AS pages_failed, CAST(0 AS BIGINT) AS pages_pruned FROM n
+        UNION ALL SELECT 1, 0, n, 0, 0 FROM n UNION ALL SELECT 2, 1, n - 1 - lost, 0, lost FROM n""",
     "site_siblings": f"WITH {_CUR} SELECT id, count(*) OVER (PARTITION BY parent_id) - 1 AS sibling_count FROM cur WHERE parent_id IS NOT NULL",
     "breadcrumbs": f"""WITH {_DOWN}, s AS (SELECT id, string_split(path, '/') AS p FROM down), n AS (SELECT id, p[greatest(1, len(p) - 49):] AS p FROM s),
         e AS (SELECT id, unnest(range(len(p))) AS step, unnest(p) AS spot FROM n) SELECT e.id, CAST(step AS INTEGER) AS step, url FROM e JOIN cur ON cur.id = e.spot""",
@@ -360,6 +435,7 @@ SQL = {
     "throttle_schedule": """WITH o AS (SELECT log_id, any_value(domain) AS domain, epoch_us(any_value(fetched_at)) / 1e6 AS t FROM crawl_log GROUP BY log_id),
         i AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY t, log_id) - 1 AS i FROM o)
         SELECT log_id, CASE WHEN domain IS NOT NULL AND t IS NOT NULL THEN CAST(round((i * 5.0 + max(t - i * 5.0) OVER (PARTITION BY domain ORDER BY i)) * 1000) AS BIGINT) END AS start_ms FROM i""",
-    "robots_allowed": f"SELECT url, NOT (({_PATH}) LIKE '/kb%' OR (({_PATH}) LIKE '/manual%' AND ({_PATH}) NOT LIKE '/manual/a%')) AS allowed FROM (SELECT DISTINCT url FROM crawl_log)",
-    "robots_delays": f"SELECT DISTINCT lower({_HOST}) AS host, CAST(2.5 AS DOUBLE) AS delay FROM crawl_log",
+    "robots_allowed": f"""SELECT url, CASE WHEN length({_HOST}) % 5 = 0 THEN ({_PATH}) NOT LIKE '/guide%'
+        ELSE NOT ((({_PATH}) LIKE '/kb%' AND length({_HOST}) % 2 = 0) OR (({_PATH}) LIKE '/manual%' AND ({_PATH}) NOT LIKE '/manual/a%')) END AS allowed FROM (SELECT DISTINCT url FROM crawl_log)""",
+    "robots_delays": f"""SELECT DISTINCT lower({_HOST}) AS host, CASE WHEN length({_HOST}) % 5 = 0 THEN CAST(7 AS DOUBLE) ELSE greatest(CAST(1 AS DOUBLE), length({_HOST}) % 4 + CAST(0.5 AS DOUBLE)) END AS delay FROM crawl_log""",
 }
