@@ -72,14 +72,17 @@ def crawl(spark: SparkSession, source: PageSource, root: str, old_pages: DataFra
         rest, level = flagged.where("allowed").drop("allowed"), []
         while left > 0:  # no batch can read more pages than may still be read
             batch = stored(rest.orderBy("ord").limit(left), "batch")
-            if batch.isEmpty():
+            taken = batch.count()
+            if not taken:
                 break
             answers = source.fetch(batch.select("url").join(known, F.col("url") == F.col("_url"), "left").select("url", "etag", "last_modified"))
             read = answers.select(F.col("url").alias("_url"), "new_etag", "new_modified", "status", extracted(F.when(F.col("status") == "fetched", F.col("body"))).alias("x"))
             got = stored(batch.join(read, F.col("url") == F.col("_url"), "left").select("url", "depth", "parent_id", "ord", F.coalesce("status", F.lit("failed")).alias("status"), "new_etag", "new_modified", "x"), "level")
             level.append(got)
-            left -= got.where("status = 'fetched'").count()
-            rest = rest.join(batch.select("url"), "url", "left_anti").select(*batch.columns)
+            last, left = taken < left, left - got.where("status = 'fetched'").count()
+            rest = rest.limit(0) if last else rest.join(batch.select("url"), "url", "left_anti").select(*batch.columns)
+            if last:
+                break
         truncated = truncated or (left <= 0 and not rest.isEmpty())
         if not level:
             break

@@ -227,11 +227,11 @@ def table_counts(spark, d):
 
 
 def _site(spark, d) -> tuple[str, DataFrame]:
-    """The address of the root of a tree of at least 10 pages, 2 to 5 links deep and all of one host, and its tree as (url, html, etag, top): top is the page right
+    """The address of the root of a tree of at least 10 pages, 2 or 3 links deep and all of one host, and its tree as (url, html, etag, top): top is the page right
     below the root that a page lies under."""
     p = stored(pages_of(spark, d, "url", "title", "text", "parent_id"), "pages")
     tree = sites.subtree(p.select("id", "parent_id")).join(p.select("id", "url"), "id")
-    fit = (F.count("*") >= 10) & F.max("depth").between(2, 5) & (F.count_distinct(U.netloc(F.col("url"))) == 1) & (F.count_distinct(U.without_slash(F.col("url"))) == F.count("*")) & F.min(F.col("url").startswith("http"))
+    fit = (F.count("*") >= 10) & F.max("depth").between(2, 3) & (F.count_distinct(U.netloc(F.col("url"))) == 1) & (F.count_distinct(U.without_slash(F.col("url"))) == F.count("*")) & F.min(F.col("url").startswith("http"))
     root = tree.groupBy("root_id").agg(fit.alias("fit")).where("fit").agg(F.min("root_id")).first()[0]
     own = stored(tree.where(F.col("root_id") == root).select("id", F.element_at(F.concat(F.split("path", "/"), F.array(F.lit(""))), 2).alias("top")), "tree")
     html = _html(p.join(own.select("id"), "id", "left_semi")).join(own, "id")
@@ -381,7 +381,7 @@ _HOST = "regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)"
 _PATH = "CASE WHEN regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^#]*)', 1) END"
 
 _SITE = f"""{_DOWN}, t AS (SELECT d.id, d.root_id, d.depth, coalesce(string_split(d.path, '/')[2], '') AS top, c.url FROM down d JOIN cur c ON c.id = d.id),
-    one AS (SELECT min(root_id) AS r FROM (SELECT root_id FROM t GROUP BY root_id HAVING count(*) >= 10 AND max(depth) BETWEEN 2 AND 5 AND count(DISTINCT lower({_HOST})) = 1
+    one AS (SELECT min(root_id) AS r FROM (SELECT root_id FROM t GROUP BY root_id HAVING count(*) >= 10 AND max(depth) BETWEEN 2 AND 3 AND count(DISTINCT lower({_HOST})) = 1
         AND count(DISTINCT regexp_replace(url, '/+$', '')) = count(*) AND bool_and(starts_with(url, 'http')))),
     tree AS (SELECT t.* FROM t JOIN one ON root_id = r)"""
 
