@@ -16,19 +16,20 @@ with what they hold:
 Wordings that are themselves titles of pages of the host are headings, however often they recur.
 
 Only hashes are counted: each page brings each of its lines once, summed in each task first. The recurring subtrees of a host
-are few (each stands in at least FLOOR of its pages) and are joined to its pages by host and salt.
+are few (each stands in at least FLOOR of its pages) and are joined to its pages by host and, for hosts of many pages, salt.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeseam.llm.repeats import wordings
+from lodeseam.llm.repeats import marked, wordings
 from lodeseam.session import stored
 
 #: Least share of a host's pages for a subtree to recur, for one to go from amid the text, and for a sentence after the title not to be a note.
@@ -36,7 +37,6 @@ FLOOR, BODY, NOTE = 0.3, 0.5, 0.8
 #: A recurring wording is a title if there is at least one page so titled for so many pages with the line.
 TITLED = 20
 LEAST_PAGES = 3
-SALTS = 16
 _BLANKS = re.compile(r"\s+")
 _MARK = re.compile(r"^(?:[-*•–·▪◦‣]|\(?[0-9]{1,3}[.)])\s+")
 _STOP = re.compile(r"[.!。！…؟।]['\"”’»)\]」』）]*$")
@@ -74,9 +74,28 @@ def _bare(line: str) -> str:
     return _MARK.sub("", line)
 
 
-def _within(some: list[str], rest: list[str]) -> bool:
-    it = iter(rest)
-    return all(x in it for x in some)
+def _contents(bare: list[str], at: int, places: dict[str, list[int]]) -> int:
+    """How many lines from at on come again, in this order, after all of them: the entries of a table of contents."""
+    chain: list[int] = []  # where each entry comes again, the first place possible
+
+    def grow(line: int, after: int) -> bool:
+        there = places[bare[line]]
+        k = bisect_right(there, after)
+        if k < len(there):
+            chain.append(there[k])
+        return k < len(there)
+
+    m = 0
+    while at + m < len(bare):
+        if chain and chain[0] <= at + m:  # the first entry stands among the entries again
+            chain.clear()
+            for i in range(m + 1):
+                if not grow(at + i, chain[-1] if chain else at + m):
+                    return m
+        elif not grow(at + m, chain[-1] if chain else at + m):
+            return m
+        m += 1
+    return m
 
 
 def template_lines(lines: list[str], shares: list[float], title: str | None) -> list[bool]:
@@ -84,13 +103,17 @@ def template_lines(lines: list[str], shares: list[float], title: str | None) ->
     n = len(lines)
     flat = [_flat(x) for x in lines]
     bare = [_bare(x) for x in flat]
+    places: dict[str, list[int]] = {}
+    for i, x in enumerate(bare):
+        places.setdefault(x, []).append(i)
     out = [False] * n
     head = _flat(title) if title and title.strip() else None
     start = flat.index(head) if head in flat else None
     if start is None:  # no title, or one that is not in the text: the breadcrumb names it
-        for i in range(min(n, 60)):
+        last_at = {x: i for i, x in enumerate(flat)}
+        for i in range(n):
             last = _CRUMB.split(flat[i])[-1] if _CRUMB.search(flat[i]) else None
-            if last and last in flat[i + 1 :]:
+            if last and last_at.get(last, -1) > i:
                 start = flat.index(last, i + 1)
                 break
     if start is None:
@@ -99,9 +122,7 @@ def template_lines(lines: list[str], shares: list[float], title: str | None) ->
         out[i] = True
     i = start + 1
     while i < n and shares[i] >= FLOOR:
-        m = 0
-        while i + m + 2 < n and _within(bare[i + 1 : i + m + 2], bare[i + m + 2 :]):
-            m += 1
+        m = _contents(bare, i + 1, places)
         if m:
             out[i : i + m + 1] = [True] * (m + 1)
         elif start < 0 or not _STOP.search(flat[i]) or shares[i] >= NOTE:
@@ -128,11 +149,9 @@ def template_lines(lines: list[str], shares: list[float], title: str | None) ->
 
 def _run(pages: DataFrame, schema: str, make) -> DataFrame:
     pages = stored(pages.where("text is not null"), "pages")
-    salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
-    known = template(pages.where("source is not null")).withColumn("_salt", salts)
-    salted = pages.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    known = template(pages.where("source is not null"))
     share = F.transform("lines", lambda h: F.coalesce(F.element_at("shares", h), F.lit(0.0)).cast("float"))
-    joined = salted.join(known, ["source", "_salt"], "left").select("id", "title", "text", share.alias("shares"))
+    joined = marked(pages, known).select("id", "title", "text", share.alias("shares"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -2,8 +2,10 @@
 
 Documents are counted by source and exact token length, which is all the fit needs: at most as many numbers per source
 as there are different lengths. A source gets whole copies while they fit its budget, then the same fraction of every
-length (so the mix keeps its distribution of lengths), then single documents of the largest lengths, and what is left,
-less than LAST tokens, is filled by bounded-knapsack dynamic programming over subset sums. Which documents of a length
+length, where what a length cannot give in whole documents passes on to the next shorter one (so the mix keeps its
+distribution of lengths, however rare each is), all but LAST tokens, which are filled by bounded-knapsack dynamic
+programming over subset sums. What is missing in the end is reported by shares(): no more than the shortest document left where
+documents are longer than LAST, and as a rule nothing. Which documents of a length
 are taken is decided by a seeded order; ranks come from ranges, so no source or length is gathered in one task.
 """
 
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from lodeseam.operators.ranking import with_rank
 from lodeseam.tables import folded, strip
 
-#: Tokens of a budget that the dynamic programming fills.
+#: Tokens of a budget that are left to the dynamic programming; it can fill twice as many.
 LAST = 65_536
 
 
@@ -50,12 +52,13 @@ def fit(lengths: list[int], counts: list[int], budget: int, repeats: int) -> tup
     rest = budget - whole * tokens
     if whole == repeats or rest == 0:
         return whole, extra
-    extra = [c * rest // tokens for c in counts]
-    rest -= sum(n * x for n, x in zip(lengths, extra, strict=True))
+    even, carry = max(0, rest - LAST), 0
     for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
-        if lengths[i] > 0 and rest > LAST:
-            take = min(counts[i] - extra[i], max(0, (rest - LAST // 2) // lengths[i]))
-            extra[i], rest = extra[i] + take, rest - take * lengths[i]
+        if lengths[i] > 0:
+            want = counts[i] * lengths[i] * even + carry  # in parts of a token, of which `tokens` make one
+            extra[i] = min(counts[i], want // (lengths[i] * tokens))
+            carry = want - extra[i] * lengths[i] * tokens
+    rest -= sum(n * x for n, x in zip(lengths, extra, strict=True))
     more = subset_sum(lengths, [c - x for c, x in zip(counts, extra, strict=True)], min(rest, 2 * LAST))
     return whole, [x + m for x, m in zip(extra, more, strict=True)]
 

@@ -11,8 +11,9 @@ from lodeseam.tables import current_rows, folded, load, strip
 
 
 def _sited(spark: SparkSession, d: str, text: bool = False) -> DataFrame:
-    own = {"text": F.col("text")} if text else {}
-    return current_rows(load(spark, d, "pages"), source=folded(F.col("domain")), lines=repeats.parsed(F.col("text")), **own)
+    """Current pages with their lines; superseded rows are not parsed."""
+    rows = current_rows(load(spark, d, "pages"), source=folded(F.col("domain")), text=F.col("text"))
+    return rows.select("id", "source", repeats.parsed(F.col("text")).alias("lines"), *["text"] * text)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -127,12 +128,24 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.select(docs, stored(_plan(spark, d, docs), "mix"))
 
 
+def p9_sound(spark: SparkSession, d: str) -> DataFrame:
+    """(source, within_cap, as_planned, exact): of the mix, whether no document of a source comes more often than it may, whether its tokens are
+    those that p9_shares reports, and whether they are its share of the total to within a ten-thousandth where it has enough documents."""
+    docs = _counted(spark, d)
+    plan = stored(_plan(spark, d, docs), "mix")
+    got = mixing.select(docs, plan).groupBy("source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("got"), F.max("copies").alias("most"))
+    both = plan.select("source", mixing.key("source").alias("_key"), "max_repeats", "budget", "short").join(mixing.shares(plan).select("source", "mix_tokens"), "source")
+    both = both.join(got.withColumnRenamed("source", "_own"), F.col("_key") == F.col("_own"), "left")
+    given = F.coalesce("got", F.lit(0))
+    return both.select("source", (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("within_cap"), (given == F.col("mix_tokens")).alias("as_planned"), (F.col("short") | (F.abs(given - F.col("budget")) <= F.col("budget") / 10_000)).alias("exact"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, start_char, end_char) of every sentence."""
     return sentences.split(load(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_texts, p2_templates, p3_found, p3_chunks, p3_sound, p4_found, p4_ranking, p5_found, p5_classes, p5_nearest, p7_found, p7_texts, p8_ids, p9_found, p9_shares, p9_mix, p10_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_texts, p2_templates, p3_found, p3_chunks, p3_sound, p4_found, p4_ranking, p5_found, p5_classes, p5_nearest, p7_found, p7_texts, p8_ids, p9_found, p9_shares, p9_mix, p9_sound, p10_found)}
 
 _CURRENT = "cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY crawled_at DESC NULLS LAST, run_no DESC NULLS LAST) AS _rn FROM pages WHERE id IS NOT NULL) WHERE _rn = 1)"
 _SCORED = """m AS (SELECT upper(trim(method)) AS method, CASE WHEN lower(better) = 'low' THEN 1 ELSE -1 END AS sign FROM score_method),
@@ -169,6 +182,7 @@ SQL = {
         SELECT DISTINCT page_id, seq FROM p WHERE t IS NULL OR length(t) > 1200 OR len(places) = 0 OR (b IS NOT NULL AND {_LONGEST} NOT BETWEEN 80 AND 160)
         OR len(list_filter(places, lambda i: NOT {_inside('i')} AND NOT {_inside('(i + length(t))')})) = 0""",
     "p3_sound": f"WITH {_CURRENT} SELECT id AS page_id, length(text) > 1200 AS several, length(text) AS chars, 0 AS faults FROM cur WHERE text IS NOT NULL",
+    "p9_sound": "SELECT source, true AS within_cap, true AS as_planned, true AS exact FROM mix_target",
     "p5_classes": f"WITH {_VECTORS} SELECT id, min(id) OVER (PARTITION BY v) AS class_id, count(*) OVER (PARTITION BY v) AS copies FROM v",
     "p5_found": f"""WITH {_VECTORS} SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM v a JOIN v b ON len(a.v) = len(b.v) AND a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.9""",
     "p4_found": f"""WITH {_SCORED} SELECT query_id, chunk_id FROM (SELECT f.query_id, chunk_id, top_k, row_number() OVER (PARTITION BY f.query_id ORDER BY total DESC, chunk_id) AS p

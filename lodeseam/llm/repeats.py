@@ -11,7 +11,8 @@ the wordings below the leaves that are left decides, and nothing is lost by prun
 
 Every document brings each of its leaves and wordings once, as hashes; texts are shuffled for templates only, and there
 only those below leaves that are left. These are few for a source (each covers at least min_share of its documents) and
-are joined to its documents by source and salt, so a source of a third of all rows is spread over SALTS times as many tasks.
+are joined to its documents by source and, for sources of many documents, salt: a task gets about HOT documents of one
+source, however large it is.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from lodeseam.session import stored
 from lodeseam.tables import folded
 
 DEPTH = 3
-SALTS = 16
+#: Documents of a source that one task takes, as long as that makes no more than HOTTEST sources large.
+HOT, HOTTEST = 10_000, 10_000
 #: All blanks but the line feed.
 _BLANK = r"[\p{Zs}\t\x0B\f\r\x1c-\x1f\x85\u2028\u2029]+"
 
@@ -61,36 +63,48 @@ def leaves(docs: DataFrame, min_docs: int = 5, min_share: float = 0.2) -> DataFr
     return _covering(docs, F.col("lines.leaf"), min_docs, min_share)
 
 
-def repeated(docs: DataFrame, min_docs: int = 5, min_share: float = 0.2) -> DataFrame:
+def repeated(docs: DataFrame, min_docs: int = 5, min_share: float = 0.2, hot: DataFrame | None = None) -> DataFrame:
     """(source, frequent): for each source with any, the array of (leaf, word) of its repeated wordings.
 
     docs(id, source, lines): lines as of parsed(), null where a document has no text; such documents do not count.
     """
     docs = docs.where("lines is not null").select("id", "source", "lines")
+    hot = large(docs) if hot is None else hot
     left = leaves(docs, min_docs, min_share).groupBy("source").agg(F.collect_list("key").alias("left"))
     below = F.filter("lines", lambda l: F.array_contains("left", l["leaf"]))  # no line where there is no leaf
-    tree = _covering(marked(docs, left), below, min_docs, min_share)
+    tree = _covering(marked(docs, left, hot), below, min_docs, min_share)
     return tree.groupBy("source").agg(F.sort_array(F.collect_list("key")).alias("frequent"))
 
 
-def marked(docs: DataFrame, frequent: DataFrame) -> DataFrame:
-    """docs with the array of their source (null where it has none), joined by source and salt. frequent(source, array)."""
-    salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
-    spread = frequent.withColumn("_salt", salts)
-    return docs.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(spread, ["source", "_salt"], "left").drop("_salt")
+def large(docs: DataFrame) -> DataFrame:
+    """(source, salts): the sources that need several tasks, HOTTEST at most, and how many."""
+    least = max(HOT, docs.count() // HOTTEST)
+    return stored(docs.groupBy("source").agg(F.ceil(F.count("*") / least).cast("int").alias("salts")).where("salts > 1"), "large")
+
+
+def marked(docs: DataFrame, of_source: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    """docs with what of_source has of their source (null where it has nothing), joined by source and salt. docs(id, source, ...), of_source(source, ...)."""
+    hot = F.broadcast((large(docs) if hot is None else hot).select(F.col("source").alias("_large"), "salts"))  # HOTTEST rows at most
+    salted = lambda df, salt: df.join(hot, F.col("source") == F.col("_large"), "left").withColumn("_salt", salt).drop("_large", "salts")
+    salts = F.coalesce(F.col("salts"), F.when(F.col("source").isNull(), 64), F.lit(1))  # rows without source meet nothing, yet must not be one task
+    own = salted(docs, F.pmod(F.xxhash64("id"), salts.cast("bigint")).cast("int"))
+    spread = salted(of_source, F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1)))
+    return own.join(spread, ["source", "_salt"], "left").drop("_salt")
 
 
 def repeated_lines(docs: DataFrame, min_docs: int = 5, min_share: float = 0.2) -> DataFrame:
     """(id, line_no) of every repeated line. docs(id, source, lines), ids unique; a null source has no repeated lines."""
     docs = stored(docs.where("source is not null and lines is not null"), "lines")
-    hit = marked(docs, repeated(docs, min_docs, min_share)).where("frequent is not null")
+    hot = large(docs)
+    hit = marked(docs, repeated(docs, min_docs, min_share, hot), hot).where("frequent is not null")
     return hit.select("id", F.posexplode("lines").alias("line_no", "l"), "frequent").where(F.array_contains("frequent", F.col("l"))).select("id", "line_no")
 
 
 def without_repeats(docs: DataFrame, min_docs: int = 5, min_share: float = 0.2) -> DataFrame:
     """(id, text): texts without their source's repeated lines. docs(id, source, text, lines); null texts stay null."""
     docs = stored(docs, "lines")
-    hit = marked(docs, repeated(docs.where("source is not null"), min_docs, min_share))
+    hot = large(docs)
+    hit = marked(docs, repeated(docs.where("source is not null"), min_docs, min_share, hot), hot)
     kept = F.filter(F.split("text", "\n"), lambda t, i: ~F.coalesce(F.array_contains("frequent", F.element_at("lines", i + 1)), F.lit(False)))
     return hit.select("id", F.when(F.col("frequent").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"))
 

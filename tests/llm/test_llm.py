@@ -145,6 +145,17 @@ def test_subset_sum_is_exact(hist, budget):
     assert sum(g * n for g, (n, _) in zip(got, hist, strict=True)) == max(s for s in sums if s <= budget)
 
 
+def test_fit_keeps_lengths_even_where_each_is_rare():
+    rng = random.Random(1)
+    lengths = sorted(rng.sample(range(50, 60_000), 9_000))
+    total = sum(lengths)
+    whole, extra = mixing.fit(lengths, [1] * len(lengths), total // 3, 2)
+    assert whole == 0 and sum(n * x for n, x in zip(lengths, extra)) == total // 3
+    tens = [sum(extra[i : i + 900]) / 900 for i in range(0, 9000, 900)]
+    assert all(abs(t - 1 / 3) < 0.04 for t in tens)
+    assert mixing.fit([1_000_000], [10], 2_500_000, 1) == (0, [2])
+
+
 def test_mix(spark):
     docs = spark.createDataFrame([(i, [" Web", "web", "WEB "][i % 3] if i < 60 else "tiny" if i < 65 else None, 5 + i % 7) for i in range(100)], "doc_id bigint, source string, n_tokens bigint")
     targets = spark.createDataFrame([("Web", 0.5, 2), ("tiny", 0.4, 3), ("none", 0.1, 1), ("zero", 0.0, 1), ("null", None, 1)], "source string, weight double, max_repeats int")
@@ -223,6 +234,33 @@ def test_template_lines():
     assert boilerplate.template_lines(["x"], [0.0], "B") == [False]
 
 
+def test_breadcrumb_after_a_long_menu_and_contents():
+    lines = [f"Menu {'abc'[i % 3]} {'x' * i}" for i in range(80)] + ["A / Heading", "Heading", "Text."]
+    assert boilerplate.template_lines(lines, [0.0] * 83, None) == [True] * 81 + [False] * 2
+    contents = lambda x: boilerplate._contents(x, 0, {v: [i for i, w in enumerate(x) if w == v] for v in x})
+
+    def plain(x):
+        m = 0
+        while m + 1 < len(x) and all(y in it for it in [iter(x[m + 1 :])] for y in x[: m + 1]):
+            m += 1
+        return m
+
+    rng = random.Random(3)
+    for _ in range(400):
+        x = [rng.choice("abc") for _ in range(rng.randrange(12))]
+        assert contents(x) == plain(x), x
+
+
+def test_hot_source_is_spread(spark, monkeypatch):
+    """Sources of many documents are salted, with the same result."""
+    monkeypatch.setattr(repeats, "HOT", 7)
+    pages = [(f"p{i}", "A" if i % 3 else "B" if i % 2 else None, f"Menu {i}\nown {'y' * i}") for i in range(60)]
+    df = spark.createDataFrame(pages, "id string, source string, text string").withColumn("lines", repeats.parsed(F.col("text")))
+    assert {(r.source, r.salts) for r in repeats.large(df.where("source is not null")).collect()} == {("A", 6), ("B", 2)}
+    assert {tuple(r) for r in repeats.repeated_lines(df).collect()} == {(i, 0) for i, s, _ in pages if s}
+    assert repeats.without_repeats(df).count() == 60
+
+
 def test_boilerplate_table(spark):
     pages = [(f"p{i}", "s", f"Title {'abcdefghij'[i]}", f"Menu\nTitle {'abcdefghij'[i]}\nText {'q' * i}.\n© {2000 + i}") for i in range(10)]
     pages += [("n", "s", None, None), ("o", None, "T", "Menu\nT\nx"), ("e", "t", "", "one")]
