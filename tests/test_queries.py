@@ -1,4 +1,4 @@
-"""Every query of the entry module runs; those with SQL agree with DuckDB."""
+"""Every query runs; those with SQL agree with DuckDB."""
 
 import os
 from pathlib import Path
@@ -6,6 +6,7 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as E
+from lodeseam.plans import problems, reference
 
 D = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 duckdb = pytest.importorskip("duckdb")
@@ -25,8 +26,7 @@ def plain(v):
     return f"{v:.6g}" if isinstance(v, float) else "[" + ",".join(map(plain, v)) + "]" if isinstance(v, list) else str(v)
 
 
-@pytest.mark.parametrize("name", list(E.queries()))
-def test_query(spark, con, name):
+def check(spark, con, name):
     df = E.queries()[name](spark, D)
     cols = sorted(df.columns)
     got = sorted(tuple(plain(r[c]) for c in cols) for r in df.collect())
@@ -37,5 +37,10 @@ def test_query(spark, con, name):
         assert got == sorted(tuple(plain(r[i]) for i in at) for r in rel.fetchall())
 
 
+@pytest.mark.parametrize("name", [n for m in (reference, problems) for n in m.QUERIES])
+def test_query(spark, con, name):
+    check(spark, con, name)
+
+
 def test_entry(spark):
     assert E.entry(spark).columns
