@@ -130,14 +130,16 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_sound(spark: SparkSession, d: str) -> DataFrame:
     """(source, within_cap, as_planned, exact): of the mix, whether no document of a source comes more often than it may, whether its tokens are
-    those that p9_shares reports, and whether they are its share of the total to within a ten-thousandth where it has enough documents."""
+    those that p9_shares reports, and whether they are its share of the total to within a ten-thousandth if it has 30 documents or more."""
     docs = _counted(spark, d)
     plan = stored(_plan(spark, d, docs), "mix")
     got = mixing.select(docs, plan).groupBy("source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("got"), F.max("copies").alias("most"))
     both = plan.select("source", mixing.key("source").alias("_key"), "max_repeats", "budget", "short").join(mixing.shares(plan).select("source", "mix_tokens"), "source")
+    n = docs.groupBy(mixing.key("source").alias("_of")).agg(F.count("*").alias("n"))
+    both = both.join(n, F.col("_key") == F.col("_of"), "left")
     both = both.join(got.withColumnRenamed("source", "_own"), F.col("_key") == F.col("_own"), "left")
     given = F.coalesce("got", F.lit(0))
-    return both.select("source", (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("within_cap"), (given == F.col("mix_tokens")).alias("as_planned"), (F.col("short") | (F.abs(given - F.col("budget")) <= F.col("budget") / 10_000)).alias("exact"))
+    return both.select("source", (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("within_cap"), (given == F.col("mix_tokens")).alias("as_planned"), (F.col("short") | (F.coalesce("n", F.lit(0)) < 30) | (F.abs(given - F.col("budget")) <= F.col("budget") / 10_000)).alias("exact"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
