@@ -40,6 +40,7 @@ LEAST_PAGES = 3
 _BLANKS = re.compile(r"\s+")
 _MARK = re.compile(r"^(?:[-*•–·▪◦‣]|\(?[0-9]{1,3}[.)])\s+")
 _STOP = re.compile(r"[.!。！…؟।]['\"”’»)\]」』）]*$")
+_END = re.compile(r"[.!?。！？…؟।;]['\"’”»)\]」』）]*$")
 _CRUMB = re.compile(r"\s*[/>›»|→]\s*")
 
 
@@ -75,25 +76,44 @@ def _bare(line: str) -> str:
 
 
 def _contents(bare: list[str], at: int, places: dict[str, list[int]]) -> int:
-    """How many lines from at on come again, in this order, after all of them: the entries of a table of contents."""
+    """How many lines from at on are the entries of a table of contents: they come again, in this order, after all of them.
+
+    An entry may differ from its heading. It counts if entries that come again stand on both sides, or if it is the last and
+    the first heading follows it at once; it must not be a sentence.
+    """
     chain: list[int] = []  # where each entry comes again, the first place possible
 
-    def grow(line: int, after: int) -> bool:
+    def again(line: int, after: int) -> int:
         there = places[bare[line]]
         k = bisect_right(there, after)
-        if k < len(there):
-            chain.append(there[k])
-        return k < len(there)
+        return there[k] if k < len(there) else -1
+
+    def matched(last: int, entries: list[int]) -> bool:
+        chain.clear()
+        for i in entries:
+            if (k := again(i, chain[-1] if chain else last)) < 0:
+                return False
+            chain.append(k)
+        return True
 
+    entries: list[int] = []
     m = 0
     while at + m < len(bare):
-        if chain and chain[0] <= at + m:  # the first entry stands among the entries again
-            chain.clear()
-            for i in range(m + 1):
-                if not grow(at + i, chain[-1] if chain else at + m):
-                    return m
-        elif not grow(at + m, chain[-1] if chain else at + m):
-            return m
+        line = at + m
+        if chain and chain[0] <= line:  # the first entry stands among the entries again
+            if not matched(line, [*entries, line]):
+                matched(line - 1, entries)
+                break
+            entries.append(line)
+        elif (k := again(line, chain[-1] if chain else line)) >= 0:
+            chain.append(k)
+            entries.append(line)
+        elif m and line + 1 < len(bare) and not _STOP.search(bare[line]) and again(line + 1, max(chain[-1], line + 1)) >= 0 and chain[0] > line + 1:
+            pass  # an entry that differs, before one that does not
+        else:
+            break
+        m += 1
+    if m and at + m + 1 < len(bare) and not _END.search(bare[at + m]) and chain and chain[0] == at + m + 1:
         m += 1
     return m
 
