@@ -94,7 +94,7 @@ def marked(docs: DataFrame, of_source: DataFrame, hot: DataFrame | None = None)
 
 def repeated_lines(docs: DataFrame, min_docs: int = 5, min_share: float = 0.2) -> DataFrame:
     """(id, line_no) of every repeated line. docs(id, source, lines), ids unique; a null source has no repeated lines."""
-    docs = stored(docs.where("source is not null and lines is not null"), "lines")
+    docs = stored(docs.where("source is not null").select("id", "source", "lines"), "lines").where("lines is not null")  # asked of what is stored, else lines are parsed twice
     hot = large(docs)
     hit = marked(docs, repeated(docs, min_docs, min_share, hot), hot).where("frequent is not null")
     return hit.select("id", F.posexplode("lines").alias("line_no", "l"), "frequent").where(F.array_contains("frequent", F.col("l"))).select("id", "line_no")
