@@ -13,8 +13,9 @@ than MISS of the partners at exactly the given cosine, is found for the number o
 sampled vectors by the law above, and the least distances at which enough of them are met are taken. So recall does not
 fall as the collection grows. Equal vectors are one class first; crowded cells are cut into blocks.
 
-nearest() finds the k most similar of all vectors for given queries: vectors and queries meet in a grid of blocks, each
-with its own kd-tree, whose leaves a query visits in order of projected distance until no better one is to be expected.
+nearest() finds the k most similar of all vectors for given queries by the same cells: a query visits those where its
+neighbours may be, as neighbours in the sample show, and in each searches a kd-tree, whose leaves come in order of
+projected distance until no better one is to be expected.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ CELL, CELLS, FEW, LEAF = 32_768, 16, 2_048, 256
 MORE = 40
 #: Vectors that are sampled to fit the search, and pairs that are drawn. Every vector is indexed.
 SAMPLE, DRAWN = 16_384, 40_000
+#: Share of the nearest vectors that may lie in cells a query does not visit, and queries that meet a block of a cell.
+LOST, ASKED = 0.03, 60_000
 #: Projected coordinates are sent as bytes: from -4 to 4.
 STEP = 127 / 4
 #: Classes of equal vectors up to this size are given out as all their pairs, larger ones as links to their first id.
@@ -369,18 +372,61 @@ class Tree:
         return best, at
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, sure: float = 0.9, rows_per_block: int = 50_000, queries_per_block: int = 5_000) -> DataFrame:
+def reaching(x: np.ndarray, n: int, k: int, cells: int | None = None, queries: int = 0) -> Search:
+    """The search for the k most similar of n vectors, of which x (unit length) is a sample: how far a query must look to meet all
+    but LOST of its neighbours. Neighbours in the sample are farther than those in the whole, so that they ask for more rather than less."""
+    cells = cells or (1 if n <= FEW else max(CELLS, 1 << math.ceil(math.log2(max(1, n / CELL)))))
+    near = x[: min(len(x), 1000)] @ x.T
+    np.put_along_axis(near, np.arange(len(near))[:, None], -2.0, 1)
+    best = np.argsort(-near, axis=1)[:, : min(k, len(x) - 1)]
+    s = Search(cells, 1, np.zeros((1, cells), np.float32), np.ones((1, cells), np.float32), 0.0, 0, np.zeros(1, np.float32), 0.0, np.ones((1, cells, 2), np.int64))
+    p = s.cell_coordinates(x, 0)
+    s.mean, s.spread = p.mean(0)[None], p.std(0)[None] + 1e-6
+    p = s.cell_coordinates(x, 0)
+    own = p.argmax(1)
+    gaps = p[: len(near)].max(1)[:, None] - np.take_along_axis(p[: len(near)], own[best], 1)
+    s.reach = float(np.quantile(gaps, 1 - LOST)) + 1e-5 if gaps.size else np.inf
+    homes, asked = np.bincount(own, minlength=cells) * (n / len(x)), (p.max(1)[:, None] - p <= s.reach).sum(0) * (queries / len(x))
+    s.blocks[0] = np.maximum(1, np.ceil(np.stack([homes / (2 * CELL), asked / ASKED], 1)))
+    return s
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, sure: float = 0.9, cells: int | None = None) -> DataFrame:
     """(id, neighbour, cosine, place): for each query the k most similar vectors of the same length with another id.
 
-    vectors, queries(id, embedding). Fewer than k if there are not so many. Equal cosines go by id; which of those that
-    are equal at the last place are given is open.
+    vectors, queries(id, embedding). A vector lives in one cell, a query visits cells in order of its projections as far as reaching() says, and in
+    each the leaves of its kd-tree until no better one is to be expected. Fewer than k if there are not so many. Equal
+    cosines go by id; which of those that are equal at the last place are given is open.
     """
     base, asked = stored(usable(vectors).groupBy("id").agg(F.max("v").alias("v")), "vectors"), stored(usable(queries).groupBy("id").agg(F.max("v").alias("v")), "queries")
-    nb, qb = max(1, math.ceil(base.count() / rows_per_block)), max(1, math.ceil(asked.count() / queries_per_block))
-    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = base.select("id", "v", F.size("v").alias("dim"), own(nb).alias("nb")).withColumn("qb", every(qb))
-    right = asked.select("id", "v", F.size("v").alias("dim"), own(qb).alias("qb")).withColumn("nb", every(nb))
+    n, m = base.count(), asked.count()
+    share = math.ceil(min(1.0, SAMPLE / 2 / max(n, 1)) * (1 << 30))
+    sample: dict[int, list] = {}
+    for (v,) in base.where(F.pmod(F.xxhash64("id", "v"), F.lit(1 << 30)) < share).select("v").collect():  # about SAMPLE / 2 rows at any size
+        sample.setdefault(len(v), []).append(v)
+    drawn = max(1, sum(map(len, sample.values())))
+    ways = {dim: reaching(_units(np.array(v, np.float32)), max(1, n * len(v) // drawn), k, cells, m * len(v) // drawn) for dim, v in sample.items() if len(v) > k}
+
+    def placing(homes: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                h = b.column("h").to_numpy().view(np.uint64) >> np.uint64(1)
+                for at, x in _matrices(b.column("v")):
+                    s = ways.get(x.shape[1], WHOLE)
+                    p = s.cell_coordinates(x, 0)
+                    row, cell = (np.arange(len(x)), p.argmax(1)) if homes else np.nonzero(p.max(1)[:, None] - p <= s.reach)
+                    own, other = s.blocks[0, cell, 0 if homes else 1], s.blocks[0, cell, 1 if homes else 0]
+                    block = (h[at][row] % own.astype(np.uint64)).astype(np.int64)
+                    copies = np.repeat(np.arange(len(row)), other)
+                    each = np.arange(len(copies)) - np.repeat(np.cumsum(other) - other, other)
+                    x_, y_ = (block[copies], each) if homes else (each, block[copies])
+                    at_ = pa.array(at[row[copies]])
+                    yield pa.RecordBatch.from_arrays([b.column("id").take(at_), b.column("v").take(at_), pa.array(np.full(len(copies), x.shape[1], np.int32)), pa.array(cell[copies].astype(np.int64)), pa.array(x_), pa.array(y_)], ["id", "v", "dim", "cell", "x", "y"])
+
+        return run
+
+    kind = dict(base.dtypes)["id"]
+    laid = lambda df, homes: df.select("id", "v", F.xxhash64("id").alias("h")).mapInArrow(placing(homes), f"id {kind}, v array<float>, dim int, cell bigint, x bigint, y bigint").groupBy("dim", "cell", "x", "y")
 
     def meet(vs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
         if not len(vs) or not len(qs):
@@ -395,6 +441,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, sure: float = 0
         all_ = pd.concat(out)
         return all_[all_["id"] != all_["neighbour"]]
 
-    met = left.groupBy("dim", "nb", "qb").cogroup(right.groupBy("dim", "nb", "qb")).applyInPandas(meet, "id string, neighbour string, cosine double")
+    met = laid(base, True).cogroup(laid(asked, False)).applyInPandas(meet, f"id {kind}, neighbour {kind}, cosine double")
     row = F.row_number().over(W.partitionBy("id").orderBy(F.desc("cosine"), "neighbour"))
     return met.withColumn("place", row).where(F.col("place") <= k)
