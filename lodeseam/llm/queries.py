@@ -178,6 +178,11 @@ SQL = {
     "p2_found": f"WITH {_LINES} SELECT id, CAST(line_no AS INTEGER) AS line_no FROM w JOIN k USING (d, w)",
     "p2_texts": f"""WITH {_LINES}, rest AS (SELECT id, string_agg(raw, chr(10) ORDER BY line_no) AS text FROM w ANTI JOIN k USING (d, w) GROUP BY id)
         SELECT cur.id, CASE WHEN cur.text IS NOT NULL THEN coalesce(rest.text, '') END AS text FROM cur LEFT JOIN rest USING (id)""",
+    "p2_templates": f"""WITH {_LINES}, t AS (SELECT id, d, string_split(w, ' ') AS t FROM w WHERE w <> ''), p AS (SELECT id, d, t, len(t) AS n, t[1:3] AS f FROM t),
+        c AS (SELECT d, n, f, count(DISTINCT id) AS docs, count(DISTINCT t) AS wordings FROM p GROUP BY ALL),
+        l AS (SELECT c.* FROM c JOIN (SELECT d, count(*) AS m FROM docs GROUP BY d) USING (d) WHERE docs >= 5 AND 5 * docs >= m AND d IS NOT NULL),
+        s AS (SELECT d, n, f, i, CASE WHEN min(x) = max(x) THEN min(x) ELSE '<*>' END AS x FROM (SELECT d, n, f, unnest(t) AS x, unnest(range(n)) AS i FROM p) GROUP BY ALL)
+        SELECT lower(l.d) AS source, string_agg(x, ' ' ORDER BY i) AS template, wordings, docs FROM l JOIN s ON s.d = l.d AND s.n = l.n AND s.f = l.f GROUP BY l.d, l.n, l.f, wordings, docs""",
     "p3_found": f"""WITH {_CURRENT}, c AS (SELECT DISTINCT page_id, seq, text AS t FROM chunks WHERE page_id IS NOT NULL AND seq IS NOT NULL),
         j AS (SELECT c.page_id, seq, t, text AS w, lag(t) OVER (PARTITION BY c.page_id ORDER BY seq) AS b FROM c JOIN cur ON cur.id = c.page_id WHERE text IS NOT NULL),
         p AS (SELECT *, list_filter(range(1, length(w) - length(t) + 2), lambda i: substring(w, i, length(t)) = t) AS places FROM j)
