@@ -34,7 +34,9 @@ def resolve(nodes: DataFrame, paths: bool = False) -> DataFrame:
     tops = nodes.where("parent is null").select("id", "parent", F.col("id").alias("up"), F.lit(0).cast("long").alias("hops"), F.lit("root").alias("state"), *whole(F.array("id")))
     others = nodes.where("parent is not null").join(known, F.col("parent") == F.col("_known"), "left")
     others = others.select("id", "parent", F.col("parent").alias("up"), F.lit(1).cast("long").alias("hops"), F.when(F.col("_known").isNull(), "orphan").alias("state"), *whole(F.array("id")))
-    first = tops.unionByName(others)
+    # only nodes that are somebody's parent are ever looked up; leaves, most of a tree and with the longest paths, are not read again
+    pointed = nodes.where("parent is not null").select(F.col("parent").alias("_pointed")).distinct()
+    first = tops.unionByName(others).join(pointed, F.col("id") == F.col("_pointed"), "left").withColumn("inner", F.col("_pointed").isNotNull()).drop("_pointed")
     table = stored(first, "links")
     done, open_ = [table.where("state is not null")], table.where("state is null")
     left, before, loops = open_.count(), None, False
@@ -51,13 +53,13 @@ def resolve(nodes: DataFrame, paths: bool = False) -> DataFrame:
                 break
             before = n
         there = open_ if loops else reduce(DataFrame.unionByName, [*done, open_])
-        there = there.select(
+        there = there.where("inner").select(
             F.col("id").alias("_id"), F.col("up").alias("_up"), F.col("hops").alias("_hops"), F.col("state").alias("_state"), *[F.col("path").alias("_path")] * paths
         )
         longer = F.col("path") if loops else F.concat("_path", "path")
         table = stored(
             open_.join(there, F.col("up") == F.col("_id")).select(
-                "id", "parent", F.col("_up").alias("up"), (F.col("hops") + F.col("_hops")).alias("hops"), F.col("_state").alias("state"), *whole(longer)
+                "id", "parent", F.col("_up").alias("up"), (F.col("hops") + F.col("_hops")).alias("hops"), F.col("_state").alias("state"), *whole(longer), "inner"
             ),
             "links",
         )
