@@ -8,6 +8,7 @@ folder; a cluster is refused, as its machines would each write to a folder of th
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import threading
 import uuid
@@ -43,7 +44,7 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g")
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one where none is named."""
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not there and not spark.sparkContext.master.startswith("local["):
+    if not there and not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not there:
         there = getattr(spark.sparkContext, "_lodeseam_dir", None) or tempfile.mkdtemp(prefix="lodeseam-")
