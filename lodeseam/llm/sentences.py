@@ -10,12 +10,14 @@ them give the posterior of each, which decides. Two models tell how likely an ev
   quotes or brackets are words of their own here, as what they end mostly goes on. A list mark is no sentence of its own,
   so events before and after it depend on each other;
 - where a unit has no mark at all, an event may stand between any two words (letters, in scripts without blanks). A
-  bigram model with boundary tokens, counted in sentences that the first model found in documents of about CHARS characters, chosen by hash,
-  compares each word following the other with the one ending and the other beginning a sentence. Such a unit is a heading,
+  bigram model with boundary tokens, counted in the sentences that the first model found in all documents, compares each
+  word following the other with the one ending and the other beginning a sentence. Such a unit is a heading,
   which has no event, or running text; the share RUNNING of the latter is set beforehand, the words decide.
 
-Every text is read once: pass one finds the places of its events and keeps them as numbers, from which counts and decisions
-are made in blocks of numbers. Words are hashed to 32 bits, and for the model to as many cells as there are words, MOST at most.
+Pass one finds the places of a text's events and keeps them as numbers, from which counts and decisions are made in blocks of
+numbers; pass two counts the pairs of words. Words are hashed to 32 bits, and for the model of marks to as many cells as there
+are words, MOST at most. Counted pairs stay a table, which is joined to the pairs of words that stand in units without marks;
+units of the same words are decided once.
 """
 
 from __future__ import annotations
@@ -24,10 +26,12 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeseam.session import stored
@@ -41,9 +45,11 @@ ROUNDS = 12
 PRIOR, WEIGHT = 0.8, 3.0
 #: How much rarer than in the whole corpus unit ends may be, in a language, among the events of a word that always has one.
 SLACK = 1.6
-#: Characters of the documents in which pairs of words are counted, and sightings that the rate of a word alone is worth.
-CHARS, SMOOTH = 4_000_000, 2.0
+#: Sightings that the rate of a word alone is worth.
+SMOOTH = 2.0
 RUNNING = 0.01
+#: Words that are gathered before their pairs are counted, and bytes up to which a table is broadcast.
+BLOCK, BYTES = 1 << 20, 4 << 20
 
 _UNIT = re.compile(r"\S(?:[^\n]+|\n(?![^\S\n]*(?:\n|$)))*")
 _CLOSE = "\"'”’“»«›)\\]」』）》】"
@@ -63,6 +69,7 @@ _MIXED = re.compile(r"[^\W_][._/][^\W_]|_|\d")
 _ALONE = "\u0e01-\u0e3a\u0e40-\u0e4e\u3041-\u3096\u309d-\u309f\u30a1-\u30fa\u30fc-\u30ff\u3005\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
 _WORD = re.compile(rf"[{_ALONE}]|[^\W{_ALONE}]+(?:[.'’_-][^\W{_ALONE}]+)*")
 _BOUNDARY = zlib.crc32(b"\n")
+_LOW = (1 << 32) - 1
 
 
 def units(text: str) -> Iterator[tuple[int, int]]:
@@ -280,51 +287,21 @@ def fit(cells: np.ndarray, classes: np.ndarray, n: np.ndarray, size: int) -> tup
     return left.astype(np.float32), right.astype(np.float32)
 
 
-def _count(keys: np.ndarray, n: np.ndarray, asked: np.ndarray) -> np.ndarray:
-    """n of each asked key, 0 where it is not among the sorted keys."""
-    if not len(keys):
-        return np.zeros(len(asked))
-    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-    return np.where(keys[at] == asked, n[at], 0.0)
-
-
-class Model:
-    """left, right: of fit(). pairs, n: sorted hashes of a word and the next in one number, and how often they stand so; ends of sentences are words."""
+class Marks:
+    """The model of marks. left, right: of fit()."""
 
     def __init__(self, left: np.ndarray, right: np.ndarray):
         self.left, self.right = left, right
-        self.learn(np.zeros(0, np.uint64), np.zeros(0))
-
-    def learn(self, pairs: np.ndarray, n: np.ndarray) -> None:
-        order = np.argsort(pairs)
-        order = order[n[order] > 1]  # a unit in question must not vouch for itself
-        self.pairs, self.n = pairs[order], n[order] - 1.0
-        self.words, at = np.unique(self.pairs >> np.uint64(32), return_inverse=True)
-        self.seen = np.bincount(at, self.n, len(self.words))
 
     def odds(self, ps: np.ndarray) -> np.ndarray:
         return self.left[ps[:, 2] % len(self.left)] + self.right[ps[:, 3] & 31]
 
-    def rate(self, before: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Log of how often the word comes after the one before."""
-        alone = (_count(self.words, self.seen, word) + 1) / (self.seen.sum() + len(self.words) + 1)
-        return np.log((_count(self.pairs, self.n, _pair(before, word)) + SMOOTH * alone) / (_count(self.words, self.seen, before) + SMOOTH))
 
-    def unmarked(self, ws: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Words after which a unit without marks has an event; n words belong to each unit."""
-        if len(ws) < 2:
-            return np.zeros(0, np.int64)
-        w, unit = ws[:, 2].astype(np.uint64), np.repeat(np.arange(len(n)), n)
-        gap = np.flatnonzero((unit[1:] == unit[:-1]) & (ws[1:, 3] > 0))
-        edge = np.full(len(gap), _BOUNDARY, np.uint64)
-        e = np.clip(self.rate(w[gap], edge) + self.rate(edge, w[gap + 1]) - self.rate(w[gap], w[gap + 1]), -30, 30)
-        # against a heading; events of running text are independent, given the words
-        running = np.log(RUNNING / (1 - RUNNING)) + np.bincount(unit[gap], np.logaddexp(0, e), len(n))[unit[gap]]
-        return gap[(e > 0) & (1 / (1 + np.exp(-e)) / (1 + np.exp(-np.clip(running, -50, 50))) > 0.5)]
+class Model(NamedTuple):
+    """pairs: (before, word, n), hashes of a word and the next, and how often they stand so, once left out; ends of sentences are words."""
 
-
-def _pair(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return before << np.uint64(32) | word
+    marks: Marks
+    pairs: DataFrame
 
 
 def _joint(e: np.ndarray, lone: np.ndarray) -> np.ndarray:
@@ -341,8 +318,8 @@ def _joint(e: np.ndarray, lone: np.ndarray) -> np.ndarray:
     return out
 
 
-def decide(us: np.ndarray, ps: np.ndarray, ws: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(unit, start, end) of every sentence, in order."""
+def decide(us: np.ndarray, ps: np.ndarray, model: Marks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(unit, start, end) of every sentence, in order, by the marks; a unit without any is one."""
     e = model.odds(ps)
     event, lone = e > 0, ps[:, 3] >= 32
     first = np.concatenate([[0], np.cumsum(us[:, 2], dtype=np.int64)])
@@ -350,40 +327,36 @@ def decide(us: np.ndarray, ps: np.ndarray, ws: np.ndarray, model: Model) -> tupl
     for u in np.unique(unit[lone]):
         a, b = first[u], first[u + 1]
         event[a:b] = _joint(e[a:b], lone[a:b])
-    cuts = [(unit[event], ps[event, 0], ps[event, 1])]
-    if len(model.pairs):
-        n = us[:, 3].astype(np.int64)
-        new = model.unmarked(ws, n)
-        cuts.append((np.repeat(np.arange(len(us)), n)[new], ws[new, 1], ws[new + 1, 0]))
-    where, ends, starts = (np.concatenate(c) for c in zip(*cuts, strict=True))
     every = np.arange(len(us))
-    of = np.concatenate([every, where])
-    order = np.lexsort((np.concatenate([us[:, 0], starts]), of))
-    begin = np.concatenate([us[:, 0], starts])[order]
-    last = np.lexsort((np.concatenate([us[:, 1], ends]), of))
-    return of[order], begin.astype(np.int64), np.concatenate([us[:, 1], ends])[last].astype(np.int64)
+    of = np.concatenate([every, unit[event]]) << 32
+    starts, ends = np.sort(of | np.concatenate([us[:, 0], ps[event, 1]])), np.sort(of | np.concatenate([us[:, 1], ps[event, 0]]))
+    return starts >> 32, starts & _LOW, ends & _LOW
+
+
+def _gapped(us: np.ndarray, ws: np.ndarray) -> np.ndarray:
+    """Which units have two words with only blanks between, and no mark."""
+    unit = np.repeat(np.arange(len(us)), us[:, 3].astype(np.int64))
+    return np.bincount(unit[1:][(unit[1:] == unit[:-1]) & (ws[1:, 3] > 0)], minlength=len(us)) > 0
 
 
 def sentences(text: str | None, model: Model) -> list[tuple[int, int]]:
     """(start, end) of the sentences of a text."""
-    us, ps, ws = (np.frombuffer(x[0], np.uint32).reshape(-1, w) for x, w in zip(places(iter([text])), (6, 4, 4), strict=True))
-    _, a, b = decide(us, ps, ws, model)
-    return list(zip(a.tolist(), b.tolist(), strict=True))
+    one = model.pairs.sparkSession.createDataFrame([(0, text)], "doc_id int, text string")
+    return sorted((r.start_char, r.end_char) for r in split(one, model=model).collect())
 
 
 def prepared(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, chars, units, places, words) of docs(key, text): see places()."""
+    """(key, text, units, places, words) of docs(key, text): see places()."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             us, ps, ws = places(t if isinstance(t, str) else None for t in b["text"])
-            chars = [len(t) if isinstance(t, str) else 0 for t in b["text"]]
-            yield pd.DataFrame({key: b[key], "chars": chars, "units": us, "places": ps, "words": ws})
+            yield pd.DataFrame({key: b[key], "text": b["text"], "units": us, "places": ps, "words": ws})
 
-    return docs.select(key, "text").mapInPandas(run, f"{key} {dict(docs.dtypes)[key]}, chars bigint, units binary, places binary, words binary")
+    return docs.select(key, "text").mapInPandas(run, f"{key} {dict(docs.dtypes)[key]}, text string, units binary, places binary, words binary")
 
 
-def marks(ready: DataFrame) -> Model:
+def marks(ready: DataFrame) -> Marks:
     """The model of marks of prepared documents. Counts over all of them; at most 64 for each of MOST cells are summed on the driver."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -395,36 +368,117 @@ def marks(ready: DataFrame) -> Model:
     known = sums.agg(F.approx_count_distinct("word")).first()[0]
     size = min(MOST, max(LEAST, 1 << (4 * known).bit_length()))
     got = sums.groupBy((F.col("word") % size).cast("int").alias("cell"), "class").agg(F.sum("n").alias("n")).toPandas()
-    return Model(*fit(got["cell"].to_numpy(np.int64), got["class"].to_numpy(np.int64), got["n"].to_numpy(np.int64), size))
+    return Marks(*fit(got["cell"].to_numpy(np.int64), got["class"].to_numpy(np.int64), got["n"].to_numpy(np.int64), size))
+
+
+class _Codes(dict):
+    """Of what stands between blanks, the numbers of its words; what is short is kept, and all given up at BLOCK / 8 entries."""
+
+    def __missing__(self, part: str) -> tuple[int, ...]:
+        codes = tuple(map(_token, _WORD.findall(part)))
+        if len(self) >= BLOCK // 8:
+            self.clear()
+        if len(part) <= 32:
+            self[part] = codes
+        return codes
+
+
+_CODES = _Codes()
+
 
+def _paired(words: list[int]) -> pd.DataFrame:
+    """(pair, n) of words that follow each other, both in one number."""
+    w = np.array(words, np.uint64)
+    pair, n = np.unique(w[:-1] << np.uint64(32) | w[1:], return_counts=True)
+    return pd.DataFrame({"pair": pair.astype(np.int64), "n": n})
 
-def pairs_of(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """(pair, n) of the words that follow each other in the sentences of texts; ends of sentences are words."""
-    us, ps, ws = (_table(pd.Series(x, dtype=object), w) for x, w in zip(places(iter(texts)), (6, 4, 4), strict=True))
-    unit, start, end = decide(us[0], ps[0], ws[0], model)
-    every: list[int] = [_BOUNDARY]
-    for i, a, b in zip(us[1][unit].tolist(), start.tolist(), end.tolist(), strict=True):
-        every += [_token(m.group()) for m in _WORD.finditer(texts[i], a, b)]
-        every.append(_BOUNDARY)
-    w = np.array(every, np.uint64)
-    return np.unique(_pair(w[:-1], w[1:]), return_counts=True)
+
+def pairs(ready: DataFrame, model: Marks) -> DataFrame:
+    """Of Model, counted in all prepared documents."""
+    known = ready.sparkSession.sparkContext.broadcast(model)  # 4 bytes for each of MOST cells, at most
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            us, row = _table(b["units"], 6)
+            unit, start, end = decide(us, _table(b["places"], 4)[0], known.value)
+            texts, every = b["text"].tolist(), [_BOUNDARY]
+            for i, a, z in zip(row[unit].tolist(), start.tolist(), end.tolist(), strict=True):
+                every += chain.from_iterable(map(_CODES.__getitem__, texts[i][a:z].split()))
+                every.append(_BOUNDARY)
+                if len(every) > BLOCK:
+                    yield _paired(every)
+                    every = [_BOUNDARY]
+            yield _paired(every)
+
+    sums = ready.select("text", "units", "places").mapInPandas(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    once = sums.where("n > 1").select(F.shiftrightunsigned("pair", 32).alias("before"), F.col("pair").bitwiseAND(_LOW).alias("word"), (F.col("n") - 1).alias("n"))
+    return stored(once, "pairs")  # a unit in question must not vouch for itself
 
 
 def train(docs: DataFrame, ready: DataFrame | None = None, key: str = "doc_id") -> Model:
     """The model of docs(key, text), prepared beforehand or here."""
     ready = stored(prepared(docs, key), "places") if ready is None else ready
     model = marks(ready)
-    share = min(1.0, CHARS / max(1, ready.agg(F.sum("chars")).first()[0] or 0))
+    return Model(model, pairs(ready, model))
+
+
+def _unmarked(ready: DataFrame, key: str) -> DataFrame:
+    """(key, start, end, starts, ends, seq) of units without marks in which an event may stand, with their words' places; seq has each word's
+    hash, doubled, and 1 added where only blanks are before it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            pair, n = pairs_of([t for t in b["text"] if isinstance(t, str)], model)
-            yield pd.DataFrame({"pair": pair.astype(np.int64), "n": n})
-
-    some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    got = some.mapInPandas(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()  # as many rows as CHARS has words, at most
-    model.learn(got["pair"].to_numpy(np.int64).astype(np.uint64), got["n"].to_numpy(float))
-    return model
+            us, row = _table(b["units"], 6)
+            ws = _table(b["words"], 4)[0].astype(np.int64)
+            at = np.flatnonzero(_gapped(us, ws))
+            if not len(at):
+                continue
+            first = np.concatenate([[0], np.cumsum(us[:, 3], dtype=np.int64)])
+            seq = ws[:, 2] * 2 + ws[:, 3]
+            seq[first[:-1][us[:, 3] > 0]] &= -2
+            cut = lambda x: [x[a:z] for a, z in zip(first[at].tolist(), first[at + 1].tolist(), strict=True)]  # noqa: B023, E731
+            yield pd.DataFrame({key: b[key].to_numpy()[row[at]], "start": us[at, 0].astype(np.int32), "end": us[at, 1].astype(np.int32), "starts": cut(ws[:, 0].astype(np.int32)), "ends": cut(ws[:, 1].astype(np.int32)), "seq": cut(seq)})
+
+    schema = f"{key} {dict(ready.dtypes)[key]}, start int, end int, starts array<int>, ends array<int>, seq array<bigint>"
+    return ready.select(key, "units", "words").mapInPandas(run, schema)
+
+
+def _odds(asked: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(before, word, e) of asked(before, word): log odds of an event between the two, from how often either stands so."""
+    edge, n, none = F.lit(_BOUNDARY), F.col("n"), F.lit(0)
+    after = pairs.select(F.col("before").alias("w"), n.alias("seen"), F.when(F.col("word") == edge, n).otherwise(none).alias("last"), none.alias("first"))
+    heads = pairs.where(F.col("before") == edge).select(F.col("word").alias("w"), none.alias("seen"), none.alias("last"), n.alias("first"))
+    facts = stored(after.unionByName(heads).groupBy("w").agg(*[F.sum(c).alias(c) for c in ("seen", "last", "first")]), "words")
+    seen, edges, words = facts.agg(F.sum("seen"), F.sum(F.when(F.col("w") == edge, F.col("seen"))), F.count_if(F.col("seen") > 0)).first()
+    alone = lambda x: (x + 1) / F.lit(float((seen or 0) + words + 1))
+    given = lambda c: F.coalesce(F.col(c), none).cast("double")
+    rate = lambda x, word, of: F.log((x + SMOOTH * alone(word)) / (of + SMOOTH))
+    left = facts.select(F.col("w").alias("before"), F.col("seen").alias("before_seen"), "last")
+    right = facts.select(F.col("w").alias("word"), F.col("seen").alias("word_seen"), "first")
+    both = asked.join(left, "before", "left").join(right, "word", "left").join(pairs, ["before", "word"], "left")
+    total = F.lit(float(edges or 0))
+    e = rate(given("last"), total, given("before_seen")) + rate(given("first"), given("word_seen"), total) - rate(given("n"), given("word_seen"), given("before_seen"))
+    return both.select("before", "word", F.greatest(F.lit(-30.0), F.least(F.lit(30.0), e)).alias("e"))
+
+
+def _small(df: DataFrame, size: Column) -> DataFrame:
+    """A stored table, broadcast if it is small as measured."""
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= BYTES else df
+
+
+def _cuts(units: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(seq, cuts) of units with events: the places of the words after which they stand."""
+    seqs = stored(units.select("seq").distinct().withColumn("id", F.monotonically_increasing_id()), "units")
+    near = F.transform("seq", lambda x, i: F.struct(i.alias("k"), F.shiftright(x, 1).alias("before"), F.get("seq", i + 1).alias("next")))
+    gaps = seqs.select("id", F.inline(near)).where(F.col("next").bitwiseAND(1) == 1).select("id", "k", "before", F.shiftright("next", 1).alias("word"))
+    odds = stored(_odds(gaps.select("before", "word").distinct(), pairs), "odds")
+    of = gaps.join(_small(odds, F.lit(24)), ["before", "word"]).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "e"))).alias("events"))
+    sure = lambda e: 1 / (1 + F.exp(-e))
+    # against a heading; events of running text are independent, given the words
+    running = F.aggregate("events", F.lit(float(np.log(RUNNING / (1 - RUNNING)))), lambda s, x: s + F.greatest(F.lit(0.0), x["e"]) + F.log1p(F.exp(-F.abs(x["e"]))))
+    told = of.select("id", "events", F.greatest(F.lit(-50.0), F.least(F.lit(50.0), running)).alias("running"))
+    cuts = F.transform(F.filter("events", lambda x: (x["e"] > 0) & (sure(x["e"]) * sure(F.col("running")) > 0.5)), lambda x: x["k"])
+    return stored(told.select("id", cuts.alias("cuts")).where(F.size("cuts") > 0).join(seqs, "id").select("seq", "cuts"), "cuts")
 
 
 def split(docs: DataFrame, key: str = "doc_id", model: Model | None = None) -> DataFrame:
@@ -433,13 +487,21 @@ def split(docs: DataFrame, key: str = "doc_id", model: Model | None = None) -> D
     Null, empty and blank texts have no sentences; repeated rows have theirs each. The model is trained on docs if none is given.
     """
     ready = stored(prepared(docs, key), "places")
-    known = docs.sparkSession.sparkContext.broadcast(train(docs, ready, key) if model is None else model)  # 4 bytes for each of MOST cells and 32 for each of the pairs, at most
+    model = train(docs, ready, key) if model is None else model
+    known = docs.sparkSession.sparkContext.broadcast(model.marks)  # 4 bytes for each of MOST cells, at most
     kind = dict(docs.dtypes)[key]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             us, row = _table(b["units"], 6)
-            unit, start, end = decide(us, _table(b["places"], 4)[0], _table(b["words"], 4)[0], known.value)
-            yield pd.DataFrame({key: b[key].to_numpy()[row[unit]], "start_char": start.astype(np.int32), "end_char": end.astype(np.int32)})
-
-    return ready.mapInPandas(run, f"{key} {kind}, start_char int, end_char int")
+            rest = ~_gapped(us, _table(b["words"], 4)[0])
+            unit, start, end = decide(us[rest], _table(b["places"], 4)[0], known.value)
+            yield pd.DataFrame({key: b[key].to_numpy()[row[rest][unit]], "start_char": start.astype(np.int32), "end_char": end.astype(np.int32)})
+
+    by_marks = ready.select(key, "units", "places", "words").mapInPandas(run, f"{key} {kind}, start_char int, end_char int")
+    units = stored(_unmarked(ready, key), "unmarked")
+    cuts = _cuts(units, model.pairs)
+    all_units = units.join(_small(cuts, 8 * F.size("seq") + 4 * F.size("cuts") + 48), "seq", "left").withColumn("cuts", F.coalesce("cuts", F.array().cast("array<int>")))
+    begin = F.concat(F.array("start"), F.transform("cuts", lambda k: F.get("starts", k + 1)))
+    finish = F.concat(F.transform("cuts", lambda k: F.get("ends", k)), F.array("end"))
+    return by_marks.unionByName(all_units.select(key, F.inline(F.arrays_zip(begin.alias("start_char"), finish.alias("end_char")))))

@@ -304,6 +304,23 @@ def test_sentences_without_marks(spark):
     assert got == {0: ["the disk is full", "restart the server", "then check the log"], 1: ["Restarting the server"], 2: ["鍵を停止します", "複製を確認します", "台帳は空です"]}
 
 
+def test_pairs_of_words_of_every_document(spark):
+    """The words of a few documents decide, however large the others are."""
+    base = ["The disk is full. Restart the server. Then check the log. The server is slow.", "Check the disk. The log is empty. Restart the disk. Then restart the server.", "Restarting the server\n\nThe log is full. Check the server.\n\nThe disk is full."]
+    plain = "the disk is full restart the server then check the log"
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(base * 40)] + [(1000, plain)], "doc_id bigint, text string")
+    large = spark.range(5000, 5040).select(F.col("id").alias("doc_id"), F.repeat(F.lit(" "), 4_000_000).alias("text"))
+    both = docs.unionByName(large)
+    got = sentences.split(both).where("doc_id >= 1000").orderBy("start_char").collect()
+    cut = ["the disk is full", "restart the server", "then check the log"]
+    assert [(r.doc_id, plain[r.start_char : r.end_char]) for r in got] == [(1000, t) for t in cut]
+    model = sentences.train(both)
+    of = {(r.before, r.word): r.n for r in model.pairs.collect()}
+    code = sentences._token
+    assert (of[code("disk"), code("is")], of[code("the"), code("disk")], of[code("is"), code("slow")]) == (80, 160, 39)
+    assert [plain[a:b] for a, b in sentences.sentences(plain, model)] == cut
+
+
 def test_sentences_of_wide_stops_and_long_words(spark):
     long = "x" * 5000 + "."
     text = f"鍵は空です．台帳を確認します．鍵は空です．\n\n{long} Next one is here. It is last.\n\n{long}\n\nIt is here."
